@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, shards, simhash
+from . import chat, packing, shards, simhash, token_files
+from .durable import shared_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The file of the vocabulary that the token queries use (fixed by their contracts)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+VOCABULARY_SIZE = 50_257
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_root(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_files(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2, vocabulary_size=VOCABULARY_SIZE)
+    return token_files.read_documents(spark, path)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, functions as F
 
 from .durable import durable
+from .ranking import number_rows
 
 #: Groups of at least 1/HEAVY of all bytes are scheduled one by one; there are at most HEAVY of them.
 HEAVY = 1 << 15
 #: The other groups are gathered by hash into so many bundles, which are scheduled like groups.
 BUNDLES = 1 << 16
-#: Rows to a run of slots that one task numbers.
-RUN_ROWS = 50_000
 
 
 def longest_first(sizes: list[tuple[int, str]], shards: int) -> dict[str, int]:
@@ -46,21 +44,6 @@ def assign_shards(rows: DataFrame, group: str, size: str, shards: int = 8, heavy
     return rows.withColumn("g", F.coalesce(group, F.lit(""))).join(where, "g").drop("g")
 
 
-def number_rows(rows: DataFrame, within: str, order: list[Column], spread: Column) -> DataFrame:
-    """``rows`` (which must be stored) with ``slot``: gapless from 0 in each value of ``within``.
-
-    Rows are dealt by the hash ``spread`` into runs of about RUN_ROWS; a run's
-    first slot is the count of rows in the runs before it.
-    """
-    runs = max(1, rows.count() // RUN_ROWS)
-    dealt = rows.withColumn("run", F.pmod(spread, F.lit(runs)).cast("long"))
-    counts = dealt.groupBy(within, "run").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(within).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select(within, "run", before.alias("first"))
-    own = F.row_number().over(Window.partitionBy(within, "run").orderBy(*order)) - 1
-    return dealt.withColumn("own", own).join(first, [within, "run"]).withColumn("slot", F.col("first") + F.col("own")).drop("run", "own", "first")
-
-
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -81,5 +64,5 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     base = durable(base, "shard-rows")
     placed = durable(assign_shards(base, "key", "size", shards), "shard-placed")
     spread = F.xxhash64(id_col, "text_crc32")
-    slots = number_rows(placed, "shard", [F.col(id_col), F.col("text_crc32"), F.col("key")], spread)
+    slots = number_rows(placed, "shard", [F.col(id_col), F.col("text_crc32"), F.col("key")], spread, "slot")
     return slots.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

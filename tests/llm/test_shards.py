@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from lexweave.llm import shards
+from lexweave.llm import ranking, shards
 
 
 def test_longest_first_by_hand():
@@ -26,7 +26,7 @@ def check(rows, got, n_shards):
 
 
 def test_documents(spark, monkeypatch):
-    monkeypatch.setattr(shards, "RUN_ROWS", 7)
+    monkeypatch.setattr(ranking, "RUN_ROWS", 7)
     rng = random.Random(1)
     texts = ["x" * rng.randrange(1, 400) + str(i) for i in range(150)]
     rows = [(i, rng.choice(texts)) for i in range(200)] + [(500, None), (501, ""), (None, "é"), (7, "copy"), (7, "copy"), (7, "copy")]
