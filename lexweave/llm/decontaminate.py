@@ -18,6 +18,8 @@ LEAST_WORDS = 8
 #: Scores of the alignment, in words, and the share of a perfect score that makes a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.5
+#: A seed is rare if at most this share of the documents, or RARE_LEAST of them, hold it.
+RARE_SHARE, RARE_LEAST = 1 / 20_000, 3
 #: Words of benchmark text that one pass over the corpus searches for.
 BLOCK_WORDS = 4_000_000
 _SOLID = np.zeros(256, bool)
@@ -64,14 +66,6 @@ class SeedSet:
         return at[ok], k[ok]
 
 
-def within_rows(first: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` seeds, whether it stays inside its row."""
-    ok = np.ones(n, bool)
-    for end in first[1:-1]:
-        ok[max(0, end - SEED_WORDS + 1) : end] = False
-    return ok
-
-
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """(best local score, end of it in ``passage``) of two word sequences, with a linear gap cost."""
     cols = np.arange(len(passage) + 1) * -GAP
@@ -116,27 +110,17 @@ def _items(rows: list) -> Items:
     return Items(ids, words)
 
 
-def _rare(items: Items, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rarer half of each item's seeds by documents that hold them: always some, whatever the counts."""
-    seed, item, place = items.seeds()
-    n = np.array([counts.get(int(h), 0) for h in seed], np.int64)
-    keep = np.zeros(len(seed), bool)
-    cut = np.searchsorted(item, np.arange(len(items.ids) + 1))
-    for a, b in zip(cut, cut[1:]):
-        if b > a:
-            keep[a:b] = n[a:b] <= np.median(n[a:b])
-    return seed[keep], item[keep], place[keep]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text: str = "text", item_id: str = "item_id", item_text: str = "text", leak: float = LEAK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(keys, item_id, score) for each document and item that align at ``leak`` or more of a perfect score.
 
     The benchmark is searched in blocks of bounded size, each against all
     documents in two passes and without a shuffle of texts: one counts the
     documents that hold each seed, the other aligns a document with an item
-    wherever they share one of the item's rarer seeds. Long documents are
-    aligned around each seed, on the item's length and as much again on either
-    side. score: alignment score over that of the whole item.
+    where they share a rare seed, or two common ones at about the same
+    distance. So a seed that many leaks have made common still finds them,
+    while chance matches of common words are not aligned. Alignment is on the
+    item's length and as much again on either side of a seed. score: alignment
+    score over that of the whole item.
 
     Null and empty texts match nothing, nor do items of under LEAST_WORDS
     words. Repeated documents each return their rows; repeated items return a
@@ -158,8 +142,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text:
 
         def count(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             known = SeedSet(seeds.value)
-            held = np.zeros(len(seeds.value), np.int64)
+            held, n_rows = np.zeros(len(seeds.value), np.int64), 0
             for batch in batches:
+                n_rows += batch.num_rows
                 for _, data, offsets in blocks(batch.column(0)):
                     words, first = word_hashes(data, offsets)
                     at, which = known.find(seed_hashes(words))
@@ -168,17 +153,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text:
                     pairs = np.unique(row[inside] * len(held) + which[inside])
                     np.add.at(held, pairs % max(1, len(held)), 1)
             some = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds.value[some].view(np.int64)), pa.array(held[some])], names=["seed", "n"])
+            # the row without a seed counts the documents
+            yield pa.RecordBatch.from_arrays([pa.array([None, *seeds.value[some].view(np.int64).tolist()], pa.int64()), pa.array([n_rows, *held[some].tolist()], pa.int64())], names=["seed", "n"])
 
         rows = source.select("text_").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most the block's seeds
-        rare = _rare(items, {r["seed"] % (1 << 64): r["n"] for r in rows})
-        shared = spark.sparkContext.broadcast((items, rare))
+        n_docs = sum(r["n"] for r in rows if r["seed"] is None)
+        common = {r["seed"] % (1 << 64) for r in rows if r["seed"] is not None and r["n"] > max(RARE_LEAST, n_docs * RARE_SHARE)}
+        shared = spark.sparkContext.broadcast((items, np.array(sorted(common), U)))
 
         def align(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, (seed, item, place) = shared.value
+            items, common = shared.value
+            seed, item, place = items.seeds()
             order = np.argsort(seed, kind="stable")
             seed, item, place = seed[order], item[order], place[order]
             distinct, begin = np.unique(seed, return_index=True)
+            is_rare = ~np.isin(distinct, common)
+            band = np.array([max(2, len(w) // 4) for w in items.words], np.int64)
             begin = np.append(begin, len(seed))
             known = SeedSet(distinct)
             for batch in batches:
@@ -191,13 +181,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text:
                     at, which, row = at[inside], which[inside], row[inside]
                     many = begin[which + 1] - begin[which]
                     pick = np.repeat(begin[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    hits = np.unique(np.stack([np.repeat(row, many), item[pick], np.repeat(at, many) - place[pick]], 1), axis=0)
-                    cut = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0), axis=1)) + 1 if len(hits) else []
-                    for group in np.split(hits, cut) if len(hits) else []:
-                        r, i = int(group[0, 0]), int(group[0, 1])
+                    hit_row, hit_item, far, rare = np.repeat(row, many), item[pick], np.repeat(at, many) - place[pick], np.repeat(is_rare[which], many)
+                    order = np.lexsort((far, hit_item, hit_row))
+                    hit_row, hit_item, far, rare = hit_row[order], hit_item[order], far[order], rare[order]
+                    near = (np.diff(hit_row) == 0) & (np.diff(hit_item) == 0) & (np.diff(far) <= band[hit_item[1:]])
+                    good = rare
+                    good[1:] |= near
+                    good[:-1] |= near
+                    hit_row, hit_item, far = hit_row[good], hit_item[good], far[good]
+                    cut = np.flatnonzero((np.diff(hit_row) != 0) | (np.diff(hit_item) != 0)) + 1
+                    for group in np.split(np.arange(len(far)), cut) if len(far) else []:
+                        r, i = int(hit_row[group[0]]), int(hit_item[group[0]])
                         own = items.words[i]
                         best = 0
-                        for a, b in _stretches(group[:, 2], len(own)):
+                        for a, b in _stretches(far[group], len(own)):
                             passage = words[max(first[r], a) : min(first[r + 1], b)]
                             best = max(best, smith_waterman(own, passage)[0])
                         score = best / (MATCH * len(own))

@@ -79,8 +79,9 @@ class Model:
     def tables(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, int]:
         """(languages, class map, transitions, first state of each, classes).
 
-        A transition is twice the next state's place, plus 1 where the phrase
-        could not go on and a new one begins with this symbol.
+        A transition is four times the next state's place, plus the phrases that
+        end: one where a phrase could not go on with this symbol, and one more
+        for a symbol that the language lacks, which is a phrase by itself.
         """
         if self._tables is None:
             names = sorted(self.texts)
@@ -96,12 +97,14 @@ class Model:
             for text in read:
                 states = suffix_automaton(squeeze[text])
                 root = np.full(wide, 0, np.int64)
-                for c, s in states[0].items():
-                    root[c] = s
-                table = np.tile(2 * (base + root * wide) + 1, (len(states), 1))
-                for i, moves in enumerate(states):
-                    for c, s in moves.items():
-                        table[i, c] = 2 * (base + s * wide)
+                for c, i in states[0].items():
+                    root[c] = i
+                anew = 4 * (base + root * wide) + (root == 0)
+                table = np.tile(anew + 1, (len(states), 1))
+                table[0] = anew
+                for k, moves in enumerate(states):
+                    for c, i in moves.items():
+                        table[k, c] = 4 * (base + i * wide)
                 parts.append(table.reshape(-1))
                 firsts.append(base)
                 base += len(states) * wide
@@ -128,8 +131,8 @@ class Model:
             while size[live - 1] <= t:
                 live -= 1
             step = table[state[:live] + codes[begin[:live] + t][:, None]]
-            cuts[:live] += step & 1
-            state[:live] = step >> 1
+            cuts[:live] += step & 3
+            state[:live] = step >> 2
         cuts += state != firsts[None, :]
         phrases = np.zeros((len(lengths), k), np.int64)
         np.add.at(phrases, row, cuts)
