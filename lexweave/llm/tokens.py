@@ -8,7 +8,7 @@ from array import array
 import numpy as np
 
 #: Distinct words that one worker remembers, about 200 bytes each, in two generations.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Longer chunks are encoded but not remembered.
 LONG = 64
 
@@ -26,7 +26,7 @@ class _Memo(dict):
 
     def __init__(self, tokenizer, prefix: str, limit: int):
         self.encode, self.merge, self.prefix, self.limit, self.old = tokenizer.encode, tokenizer.model.tokenize, prefix, limit // 2, {}
-        self.bare = self
+        self.bare, self.mark = self, prefix.translate(_BYTES)
 
     def __missing__(self, chunk: str) -> bytes:
         # letters, a mark and a line feed are tokens apart, so only the letters need the library
@@ -37,8 +37,11 @@ class _Memo(dict):
             return self[head] + self.bare[feed] + self.bare[tail]
         ids = self.old.get(chunk)
         if ids is None:
-            if _LATIN(chunk):  # nothing to cut, so straight to the merges
-                found = self.merge((self.prefix + chunk).encode().decode("latin-1").translate(_BYTES))
+            # letters only leave nothing to cut, so straight to the merges
+            if chunk.isascii() and chunk.isalpha():
+                ids = array("I", [t.id for t in self.merge(self.mark + chunk)]).tobytes()
+            elif _LATIN(chunk):
+                found = self.merge(self.mark + chunk.encode().decode("latin-1").translate(_BYTES))
                 ids = array("I", [t.id for t in found]).tobytes()
             else:
                 ids = np.array(self.encode(self.prefix + chunk, add_special_tokens=False).ids, "<u4").tobytes()
