@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, language, linededup, packing, quality, shards, simhash, sql, token_files
+from . import chat, decontaminate, language, licenses, linededup, packing, quality, shards, simhash, sql, token_files
 from .durable import shared_root
 
 
@@ -20,6 +20,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), [docs["doc_id"]])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, thousands, tens; the first of each ten is that directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    name = F.when(n % 10 == 0, "LICENSE").otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(n / 1000).cast("string"), F.floor(n / 10).cast("string"), name)
+    return licenses.scan_licences(docs, path, [n])
+
+
 def vocabulary() -> str:
     """The file of the vocabulary that the token queries use (fixed by their contracts)."""
     import public_tokenizers
