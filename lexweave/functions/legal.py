@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import ascii_fold, find_all, squeeze, strip, summarize, text_or_empty
+from .text import ascii_fold, find_all, let, squeeze, strip, summarize, text_or_empty
 
 # -- fixed values ---------------------------------------------------------------------------------
 
@@ -69,12 +69,15 @@ def _abbreviations(c: Column) -> Column:
 
 def number_aliases(number: Column, legal_type: Column) -> Column:
     """Every form under which a number may be cited; empty for an empty number."""
-    n = normalize_number(number)
+    return let(F.struct(normalize_number(number).alias("n"), _abbreviations(legal_type).alias("a")), lambda x: _aliases(x["n"], x["a"]))
+
+
+def _aliases(n: Column, abbreviations: Column) -> Column:
     parts = number_parts(n)
     base = F.get(parts, F.lit(0))
     forms = F.array(n, F.replace(n, F.lit("-"), F.lit("/")), F.replace(n, F.lit("/"), F.lit("-")))
     bare = F.when((F.size(parts) > 1) & F.element_at(parts, -1).rlike("[a-z]"), F.array(base)).otherwise(F.array().cast("array<string>"))
-    short = F.when(base.isNotNull(), F.flatten(F.transform(_abbreviations(legal_type), lambda a: F.array(F.concat(base, F.lit("/"), a), F.concat(base, F.lit("-"), a))))).otherwise(F.array().cast("array<string>"))
+    short = F.when(base.isNotNull(), F.flatten(F.transform(abbreviations, lambda a: F.array(F.concat(base, F.lit("/"), a), F.concat(base, F.lit("-"), a))))).otherwise(F.array().cast("array<string>"))
     return F.when(n == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(forms, bare, short)))
 
 
@@ -85,7 +88,7 @@ def references(folded: Column) -> Column:
     typed = F.transform(find_all(folded, TYPED_NUMBER, (1, 2)), lambda m: F.struct((m["end"] - F.length(m["g1"])).alias("begin"), F.lit(0).alias("untyped"), (-F.length(m["g1"])).alias("length"), m["end"].alias("end"), m["g1"].alias("raw"), normalize_number(m["g1"]).alias("number"), m["g0"].alias("hint")).cast(kind))
     every = F.array_sort(F.filter(F.concat(plain, typed), lambda m: m["number"] != ""))
     key = lambda m: F.struct(m["begin"], m["end"], m["number"])
-    return F.filter(every, lambda m, i: F.array_position(F.transform(every, key), key(m)) == i + 1)
+    return let(every, lambda e: F.filter(e, lambda m, i: F.array_position(F.transform(e, key), key(m)) == i + 1))
 
 
 def requires_local_context(number: Column) -> Column:
@@ -94,8 +97,10 @@ def requires_local_context(number: Column) -> Column:
 
 def localities(c: Column) -> Column:
     """Names of provinces and cities: ``tinh`` or ``thanh pho`` and up to three plain words."""
-    t = F.regexp_extract_all(ascii_fold(c), F.lit(r"\S+"), F.lit(0))
+    return let(F.regexp_extract_all(ascii_fold(c), F.lit(r"\S+"), F.lit(0)), _localities)
+
 
+def _localities(t: Column) -> Column:
     def name(i: Column, head: int) -> Column:
         tail = F.slice(t, i + 1 + head, F.lit(3))
         bad = F.transform(tail, lambda w: w.isin(*LOCALITY_STOPWORDS) | ~w.rlike("^[a-z]+$"))
@@ -122,8 +127,10 @@ def article_labels(c: Column) -> Column:
 
 def reference_label(window: Column) -> Column:
     """The last article of a window with the last clause and point that begin no later than it ends."""
-    t = ascii_fold(window)
-    article = F.try_element_at(find_all(t, ARTICLE, (1,)), F.lit(-1))
+    return let(ascii_fold(window), lambda t: let(F.struct(t.alias("t"), F.try_element_at(find_all(t, ARTICLE, (1,)), F.lit(-1)).alias("a")), lambda x: _label(x["t"], x["a"])))
+
+
+def _label(t: Column, article: Column) -> Column:
     last = lambda pattern: F.try_element_at(F.filter(find_all(t, pattern, (1,)), lambda m: m["begin"] <= article["end"]), F.lit(-1))["g0"]
     return F.when(article.isNotNull(), F.concat_ws(" ", F.concat(F.lit("Điểm "), last(POINT)), F.concat(F.lit("Khoản "), last(CLAUSE)), F.concat(F.lit("Điều "), article["g0"])))
 
@@ -177,8 +184,7 @@ def _any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def issuer_scope(issuer: Column) -> Column:
-    t = ascii_fold(issuer)
-    return F.when(t == "", "unknown").when(_any(t, LOCAL_ISSUERS), "local").when(_any(t, CENTRAL_ISSUERS), "central").otherwise("unknown")
+    return let(ascii_fold(issuer), lambda t: F.when(t == "", "unknown").when(_any(t, LOCAL_ISSUERS), "local").when(_any(t, CENTRAL_ISSUERS), "central").otherwise("unknown"))
 
 
 def query_value(number: Column, title: Column) -> Column:

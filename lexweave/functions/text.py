@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import html.entities
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -29,6 +30,11 @@ def _table(form: str, with_d: bool) -> tuple[str, str]:
     return "".join(source + marks), "".join(target)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space (any of Unicode) at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -145,12 +151,18 @@ def find_all(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Colu
 
     Built from the pieces between matches, since no built-in returns places.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-    before = lambda i: F.aggregate(F.slice(F.arrays_zip(gaps.alias("g"), whole.alias("m")), 1, i), F.lit(0), lambda a, x: a + F.length(x["g"]) + F.length(x["m"]))
-    begin = lambda i: before(i) + F.length(F.get(gaps, i))
-    return F.transform(whole, lambda m, i: F.struct(begin(i).alias("begin"), (begin(i) + F.length(m)).alias("end"), *[F.get(p, i).alias(f"g{k}") for k, p in enumerate(parts)]))
+    pieces = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.split(text, pattern, -1).alias("gaps"),
+        *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{k}") for k, g in enumerate(groups)],
+    )
+
+    def places(p: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(F.arrays_zip(p["gaps"], p["whole"]), F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["gaps"]) + F.length(x["whole"]))
+        found = F.transform(p["whole"], lambda m, i: F.struct((before(i) + F.length(F.get(p["gaps"], i))).alias("b"), F.length(m).alias("n"), i.alias("i")))
+        return F.transform(found, lambda x: F.struct(x["b"].alias("begin"), (x["b"] + x["n"]).alias("end"), *[F.get(p[f"g{k}"], x["i"]).alias(f"g{k}") for k in range(len(groups))]))
+
+    return let(pieces, places)
 
 
 # -- dates ---------------------------------------------------------------------------------------

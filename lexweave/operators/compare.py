@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -71,13 +72,16 @@ def diff(pairs: DataFrame, left: str = "left_text", right: str = "right_text") -
     """``pairs`` with counts of unchanged, changed, removed and added clauses."""
     from .segment import clause_units
 
-    kinds = "unchanged int, changed int, removed int, added int"
+    kinds = ["unchanged", "changed", "removed", "added"]
+    cut = pairs.withColumn("l__", clause_units(F.col(left))).withColumn("r__", clause_units(F.col(right)))
 
-    @F.pandas_udf(kinds)
-    def counted(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([clause_diff(list(x), list(y)) for x, y in zip(a, b)], columns=["unchanged", "changed", "removed", "added"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            told = [clause_diff(list(x), list(y)) for x, y in zip(rows["l__"], rows["r__"])]
+            yield rows.drop(columns=["l__", "r__"]).assign(**{k: [t[k] for t in told] for k in kinds})
 
-    return pairs.withColumn("d", counted(clause_units(F.col(left)), clause_units(F.col(right)))).select(*pairs.columns, "d.*")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema), *(f"{k} int" for k in kinds)])
+    return cut.mapInPandas(run, schema)
 
 
 def _align(rows: pd.DataFrame, explicit: dict[str, list[str]], lifecycle: bool, heuristics: bool) -> list[tuple]:

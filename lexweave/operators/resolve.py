@@ -70,7 +70,11 @@ def resolve(asks: DataFrame, docs: DataFrame) -> DataFrame:
 def relation_candidates(docs: DataFrame) -> DataFrame:
     """(source_id, relation_type, number, hint): references in the stretch behind each cue of a title."""
     folded = docs.select(F.col("id").alias("source_id"), ascii_fold(F.col("title")).alias("t"))
-    cues = [F.transform(find_all(F.col("t"), p), lambda m, k=k: F.struct(F.lit(k).alias("relation_type"), F.substring(F.col("t"), m["begin"] + 1, F.lit(SEGMENT)).alias("segment"))) for k, patterns in RELATION_CUES.items() for p in patterns]
+
+    def stretches(kind: str, cue: str) -> Column:
+        return F.transform(find_all(F.col("t"), cue), lambda m: F.struct(F.lit(kind).alias("relation_type"), F.substring(F.col("t"), m["begin"] + 1, F.lit(SEGMENT)).alias("segment")))
+
+    cues = [stretches(k, p) for k, patterns in RELATION_CUES.items() for p in patterns]
     hits = folded.select("source_id", F.inline(F.flatten(F.array(*cues))))
     found = hits.select("source_id", "relation_type", F.explode(references(F.col("segment"))).alias("m"))
     return found.select("source_id", "relation_type", F.col("m.number").alias("number"), F.coalesce("m.hint", F.lit("")).alias("hint")).distinct()

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import fts_tokens, retrieval_text, squeeze, strip_tags, text_or_empty
+from ..functions.text import fts_fold, fts_tokens, let, retrieval_text, squeeze, strip_tags, text_or_empty
 
 #: Saturation, length share, floor of the inverse document frequency, and column weights.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -43,7 +43,10 @@ class Index:
 def build_index(table: DataFrame, key: str, columns: list[str]) -> Index:
     """Tokens of each column without diacritics. Counting happens before the shuffle, so a frequent term costs one row per task and document."""
     tokens = table.select(key, *[fts_tokens(F.col(c)).alias(c) for c in columns])
-    each = F.explode(F.flatten(F.array(*[F.transform(c, lambda t, c=c: F.struct(F.lit(c).alias("column"), t.alias("term"))) for c in columns]))).alias("t")
+    def named(c: str) -> Column:
+        return F.transform(c, lambda t: F.struct(F.lit(c).alias("column"), t.alias("term")))
+
+    each = F.explode(F.flatten(F.array(*map(named, columns)))).alias("t")
     postings = tokens.select(key, each).groupBy(F.col("t.term").alias("term"), key, F.col("t.column").alias("column")).agg(F.count("*").alias("tf"))
     lengths = tokens.select(key, reduce(lambda a, b: a + b, [F.size(c) for c in columns]).cast("long").alias("length"))
     return Index(postings, lengths, key, tuple(columns))
@@ -126,15 +129,22 @@ def identifier_order(last_year: int) -> list[Column]:
 
 def snippet(text: Column, prefixes: list[str], words: int = 16) -> Column:
     """The window of ``words`` words with most hits (the first of equals), hits marked, dots where it is cut."""
-    w = F.split(squeeze(text), " ")
-    clean = F.transform(w, lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", ""))
-    is_hit = lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in prefixes])
-    flags = F.transform(clean, lambda x: is_hit(x).cast("int"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
-    score = F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(flags, i + 1, F.lit(words)), F.lit(0), lambda a, x: a + x).alias("n"), (-i).alias("at")))
-    at = -F.array_max(score)["at"]
-    shown = F.transform(F.slice(F.arrays_zip(w.alias("w"), flags.alias("f")), at + 1, F.lit(words)), lambda x: F.when(x["f"] == 1, F.concat(F.lit("<mark>"), x["w"], F.lit("</mark>"))).otherwise(x["w"]))
-    return F.concat(F.when(at > 0, F.lit("... ")).otherwise(F.lit("")), F.array_join(shown, " "), F.when(at + words < F.size(w), F.lit(" ...")).otherwise(F.lit("")))
+    is_hit = lambda x: F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(x, p))
+    marked = F.transform(F.split(squeeze(text), " "), lambda w: F.struct(w.alias("w"), is_hit(F.regexp_replace(fts_fold(w), r"[^\p{L}\p{N}]", "")).cast("int").alias("f")))
+
+    def windows(m: Column) -> Column:
+        # a best window may begin at a hit, or be the last one
+        hits = F.filter(F.transform(m, lambda x, i: F.when(x["f"] == 1, i)), lambda i: i.isNotNull())
+        last = F.greatest(F.size(m) - words, F.lit(0))
+        starts = F.concat(F.array(F.lit(0)), F.transform(hits, lambda i: F.least(i, last)))
+        score = F.transform(starts, lambda s: F.struct(F.size(F.filter(hits, lambda i: (i >= s) & (i < s + words))).alias("n"), (-s).alias("at")))
+        return F.struct(m.alias("m"), (-F.array_max(score)["at"]).alias("at"))
+
+    def show(x: Column) -> Column:
+        cut = F.transform(F.slice(x["m"], x["at"] + 1, F.lit(words)), lambda y: F.when(y["f"] == 1, F.concat(F.lit("<mark>"), y["w"], F.lit("</mark>"))).otherwise(y["w"]))
+        return F.concat(F.when(x["at"] > 0, F.lit("... ")).otherwise(F.lit("")), F.array_join(cut, " "), F.when(x["at"] + words < F.size(x["m"]), F.lit(" ...")).otherwise(F.lit("")))
+
+    return let(let(marked, windows), show)
 
 
 def search_documents(docs: DataFrame, index: Index, query: str, number: int = 1, size: int = PAGE_SIZE, *, last_year: int = 2100, profile: Index | None = None, legal_type: str | None = None, year: int | None = None, issuer: str | None = None) -> DataFrame:
@@ -184,8 +194,12 @@ def query_terms(query: str) -> list[str]:
 
 def passage_score(query: str, bm25: Column, title: Column, heading: Column, text: Column, document_rank: Column | None = None) -> Column:
     """Score of a passage: BM25, its document's rank, and bonuses for the phrase and its terms."""
+    forms = F.struct(*[retrieval_text(c).alias(f"t{k}") for k, c in enumerate((title, heading, text))])
+    return let(forms, lambda x: _passage_score(query, bm25, [x["t0"], x["t1"], x["t2"]], document_rank))
+
+
+def _passage_score(query: str, bm25: Column, folded: list[Column], document_rank: Column | None) -> Column:
     q = plain_query(query)
-    folded = [retrieval_text(c) for c in (title, heading, text)]
     out = -bm25
     if document_rank is not None:
         out = out + F.coalesce(F.greatest(F.lit(0.0), 24.0 - document_rank), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.legal import link_type, normalize_number, reference_label, reference_year, references
-from ..functions.text import ascii_fold, normalize_markdown, plain_field, retrieval_text, slug_anchor, squeeze, strip, summarize, text_or_empty, unique_in_order
+from ..functions.text import ascii_fold, let, normalize_markdown, plain_field, retrieval_text, slug_anchor, squeeze, strip, summarize, text_or_empty, unique_in_order
 
 #: Fixed values.
 FALSE_HEADINGS = ("ban hanh kem theo", "theo quyet dinh so", "co hieu luc", "chiu trach nhiem")
@@ -25,15 +25,17 @@ def _uppercaseish(line: Column) -> Column:
 
 def _is_heading(line: Column) -> Column:
     """Whether a chapter, part or section line is one, not a sentence that begins like one."""
-    folded = ascii_fold(line)
-    veto = folded.rlike("|".join(FALSE_HEADINGS)) | line.contains(";")
+    veto = ascii_fold(line).rlike("|".join(FALSE_HEADINGS)) | line.contains(";")
     loose = ~_uppercaseish(line) & (line.endswith(".") | (F.size(F.split(squeeze(line), " ")) > 18))
     return ~(veto | loose)
 
 
 def line_label(raw: Column) -> Column:
     """struct(section_type, label) where a line begins a section, else null."""
-    line = strip(raw)
+    return let(F.struct(raw.alias("raw"), strip(raw).alias("line")), lambda x: _line_label(x["raw"], x["line"]))
+
+
+def _line_label(raw: Column, line: Column) -> Column:
     mark = r"(?iu)^((?:{})\s+[IVXLC0-9A-Za-z\-./]+.*)$"
     rules = [
         (raw.rlike(r"^#{1,6}\s+.*$"), "heading", strip(F.regexp_extract(raw, r"^#{1,6}\s+(.*)$", 1))),
@@ -106,13 +108,17 @@ def clause_units(text: Column, most: int = 12) -> Column:
 
     units = F.transform(F.flatten(F.transform(lines, pieces)), lambda x: summarize(x, 200))
     kept = F.filter(F.transform(units, lambda u: F.struct(u.alias("u"), plain_field(u).alias("k"))), lambda x: F.length(x["k"]) >= 12)
-    first = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: y["k"]), x["k"]) == i + 1)
+    first = let(kept, lambda a: F.filter(a, lambda x, i: F.array_position(F.transform(a, lambda y: y["k"]), x["k"]) == i + 1))
     return F.slice(F.transform(first, lambda x: x["u"]), 1, most)
 
 
 def keywords(docs: DataFrame, weights: dict[str, int], id_col: str = "id", most: int = 48) -> DataFrame:
     """(document_id, place, keyword, weight): the words of the weighted fields, ties by first occurrence."""
-    fields = [F.transform(F.regexp_extract_all(retrieval_text(F.col(c)), F.lit("[0-9a-z]+"), F.lit(0)), lambda t, i, k=k, w=w: F.struct(t.alias("token"), F.lit(w).alias("weight"), (F.lit(k * 1_000_000) + i).alias("at"))) for k, (c, w) in enumerate(weights.items())]
+
+    def field(k: int, c: str, w: int) -> Column:
+        return F.transform(F.regexp_extract_all(retrieval_text(F.col(c)), F.lit("[0-9a-z]+"), F.lit(0)), lambda t, i: F.struct(t.alias("token"), F.lit(w).alias("weight"), (F.lit(k).cast("long") * (1 << 32) + i).alias("at")))
+
+    fields = [field(k, c, w) for k, (c, w) in enumerate(weights.items())]
     words = docs.select(F.col(id_col).alias("document_id"), F.inline(F.flatten(F.array(*fields))))
     kept = words.where(((F.length("token") >= 3) | F.col("token").rlike("[0-9]")) & ~F.col("token").isin(*KEYWORD_STOPWORDS))
     summed = kept.groupBy("document_id", "token").agg(F.sum("weight").alias("weight"), F.min("at").alias("at"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import ascii_fold, parsed_date, plain_field, slugify, text_or_empty, token_set
+from ..functions.text import ascii_fold, let, parsed_date, plain_field, slugify, text_or_empty, token_set
 
 # -- fixed values ---------------------------------------------------------------------------------
 
@@ -51,7 +49,7 @@ EXCLUDED_SUBJECTS = (
 def whole_word_hits(field: Column, words: list[str]) -> Column:
     """How many of the phrases stand in the field as whole words."""
     padded = F.concat(F.lit(" "), field, F.lit(" "))
-    return reduce(lambda a, b: a + b, [padded.contains(f" {w} ").cast("int") for w in words])
+    return let(padded, lambda p: F.size(F.filter(F.array(*[F.lit(f" {w} ") for w in words]), lambda w: F.contains(p, w))))
 
 
 def is_focus_type(legal_type: Column) -> Column:
@@ -60,24 +58,37 @@ def is_focus_type(legal_type: Column) -> Column:
 
 def focus_scores(title: Column, legal_type: Column, issuer: Column, branch: Column, field: Column) -> Column:
     """struct(include, exclude, accepted): the scorecard that decides whether a document is in the focused corpus."""
-    t, k, i = plain_field(title), plain_field(legal_type), plain_field(issuer)
     tidy = lambda c: F.when(F.trim(text_or_empty(c)) != "", F.trim(c))
-    s = plain_field(F.concat_ws(" | ", tidy(branch), tidy(field)))
-    hay = F.concat_ws(" | ", *[F.when(x != "", x) for x in (t, k, i, s)])
-    primary, conditional, filtered = whole_word_hits(i, PRIMARY_ISSUERS), whole_word_hits(i, CONDITIONAL_ISSUERS), whole_word_hits(i, FILTERED_ISSUERS)
-    barred, focus, sector, public = whole_word_hits(s, EXCLUDED_SECTORS), whole_word_hits(hay, FOCUS_WORDS), whole_word_hits(s, FOCUS_SECTORS), whole_word_hits(hay, PUBLIC_WORDS)
+    forms = F.struct(plain_field(title).alias("t"), plain_field(legal_type).alias("k"), plain_field(issuer).alias("i"), plain_field(F.concat_ws(" | ", tidy(branch), tidy(field))).alias("s"))
+    return let(let(forms, _focus_hits), _scorecard)
+
+
+def _focus_hits(x: Column) -> Column:
+    hay = F.concat_ws(" | ", *[F.when(x[c] != "", x[c]) for c in "tkis"])
+    lists = {"primary": ("i", PRIMARY_ISSUERS), "conditional": ("i", CONDITIONAL_ISSUERS), "filtered": ("i", FILTERED_ISSUERS), "barred": ("s", EXCLUDED_SECTORS), "sector": ("s", FOCUS_SECTORS)}
+    counts = [whole_word_hits(x[c], words).alias(name) for name, (c, words) in lists.items()]
+    return F.struct(x["k"].isin(*FOCUS_TYPES).alias("typed"), *counts, whole_word_hits(hay, FOCUS_WORDS).alias("focus"), whole_word_hits(hay, PUBLIC_WORDS).alias("public"))
+
+
+def _scorecard(h: Column) -> Column:
     points = lambda test, n: F.when(test, n).otherwise(0)
-    topical = (sector > 0) | (focus > 0)
-    include = points(primary > 0, 5) + points(sector > 0, F.least(F.lit(4), sector + 1)) + F.least(F.lit(6), focus * 2) + points((conditional > 0) & topical, 2) + points(k.isin(*FOCUS_TYPES) & topical, 1)
-    exclude = public * 3 + points(filtered > 0, 4) + F.least(F.lit(6), barred * 2)
-    refused = ((filtered > 0) & (include < 6)) | ((barred > 0) & (include < 7))
-    taken = ((primary > 0) & (include >= 5) & (include + 1 >= exclude)) | ((conditional > 0) & (include >= 4) & (include > exclude)) | ((sector > 0) & (focus > 0) & (include >= exclude)) | ((include >= 5) & (include > exclude))
-    return F.struct(include.alias("include"), exclude.alias("exclude"), (~refused & taken).alias("accepted"))
+    has = lambda c: h[c] > 0
+    topical = has("sector") | has("focus")
+    include = points(has("primary"), 5) + points(has("sector"), F.least(F.lit(4), h["sector"] + 1)) + F.least(F.lit(6), h["focus"] * 2) + points(has("conditional") & topical, 2) + points(h["typed"] & topical, 1)
+    exclude = h["public"] * 3 + points(has("filtered"), 4) + F.least(F.lit(6), h["barred"] * 2)
+
+    def verdict(s: Column) -> Column:
+        i, e = s["include"], s["exclude"]
+        refused = (has("filtered") & (i < 6)) | (has("barred") & (i < 7))
+        taken = (has("primary") & (i >= 5) & (i + 1 >= e)) | (has("conditional") & (i >= 4) & (i > e)) | (has("sector") & has("focus") & (i >= e)) | ((i >= 5) & (i > e))
+        return F.struct(i.alias("include"), e.alias("exclude"), (~refused & taken).alias("accepted"))
+
+    return let(F.struct(include.alias("include"), exclude.alias("exclude")), verdict)
 
 
 def is_economy_related(*fields: Column) -> Column:
     hay = ascii_fold(F.concat_ws(" | ", *[text_or_empty(f) for f in fields]))
-    return reduce(lambda a, b: a | b, [hay.contains(w) for w in ECONOMY_WORDS])
+    return let(hay, lambda h: F.exists(F.array(*map(F.lit, ECONOMY_WORDS)), lambda w: F.contains(h, w)))
 
 
 def newest_first(date: Column, id_col: Column) -> list[Column]:
@@ -103,9 +114,8 @@ def select_recent(metadata: DataFrame, content_ids: DataFrame, existing: DataFra
 
 
 def is_focused_subject(name: Column) -> Column:
-    t = ascii_fold(name)
-    has = lambda words: reduce(lambda a, b: a | b, [t.contains(w) for w in words])
-    return ~has(EXCLUDED_SUBJECTS) & has(FOCUS_SUBJECTS)
+    has = lambda t, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))
+    return let(ascii_fold(name), lambda t: ~has(t, EXCLUDED_SUBJECTS) & has(t, FOCUS_SUBJECTS))
 
 
 def subjects_from_html(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -380,8 +380,8 @@ STOP = "('" + "', '".join(segment.KEYWORD_STOPWORDS) + "')"
     W("docs")
     + f""", f AS (SELECT id, 0 AS k, 4 AS w, title AS x FROM docs UNION ALL SELECT id, 1, 3, document_number FROM docs UNION ALL SELECT id, 2, 1, excerpt FROM docs),
 t AS (SELECT id, k, w, unnest(regexp_extract_all({_norm('x')}, '[0-9a-z]+')) AS token, generate_subscripts(regexp_extract_all({_norm('x')}, '[0-9a-z]+'), 1) AS pos FROM f),
-s AS (SELECT id, token, sum(w) AS weight, min(k * 1000000 + pos) AS at FROM t WHERE (length(token) >= 3 OR regexp_matches(token, '[0-9]')) AND token NOT IN {STOP} GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, at) AS place FROM s)
+s AS (SELECT id, token, sum(w) AS weight, min(k * 1000000 + pos) AS seen FROM t WHERE (length(token) >= 3 OR regexp_matches(token, '[0-9]')) AND token NOT IN {STOP} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, seen) AS place FROM s)
 SELECT id AS document_id, CAST(place AS INTEGER) AS place, token AS keyword, CAST(weight AS BIGINT) AS weight FROM r WHERE place <= 48"""
 )
 def agg_keywords(spark, d):
