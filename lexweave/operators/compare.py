@@ -174,3 +174,15 @@ def reason_label(c: Column) -> Column:
 
 def same_label(a: Column, b: Column) -> Column:
     return plain_field(a) == plain_field(b)
+
+
+def describe(rows: DataFrame, lifecycle: bool = False) -> DataFrame:
+    """``rows`` (reason, score, left_text and clause counts) with change: what became of an aligned section."""
+    c = F.col
+    pointed = F.lit(lifecycle) & c("reason").isin("explicit-citation", "referenced-article")
+    kind = instruction_type(c("left_text"))
+    told = F.when(kind == "amendment", "amending instruction").when(kind == "repeal", "repeal instruction").when(kind == "guidance", "guidance instruction").otherwise("targeted reference")
+    still = (c("score") >= 0.97) & (c("changed") == 0) & (c("added") == 0) & (c("removed") == 0)
+    more = (c("added") > 0) & (c("removed") == 0) & (c("changed") <= 1)
+    less = (c("removed") > 0) & (c("added") == 0) & (c("changed") <= 1)
+    return rows.withColumn("change", F.when(pointed, told).when(still, "unchanged").when(more, "expanded").when(less, "reduced").otherwise("rewritten"))

@@ -412,3 +412,33 @@ def seg_sections_plain(spark, d):
     sizes = parts.groupBy("document_id").agg(F.count("*").alias("sections"))
     full = b.docs(spark, d).select(F.col("id").alias("document_id"), F.length("content").cast("long").alias("chars"))
     return sizes.join(full, "document_id")
+
+
+PROFILE_SQL = W("docs") + ", prof AS (SELECT id, title AS heading_index, document_number AS citation_index FROM docs), " + bm25_sql("prof", "id", {"heading_index": 3.0, "citation_index": 2.0}, ["then", "an"])
+
+
+def profile_index(spark: SparkSession, d: str) -> search.Index:
+    table = b.docs(spark, d).select("id", F.col("title").alias("heading_index"), F.col("document_number").alias("citation_index"))
+    return search.build_index(table, "id", ["heading_index", "citation_index"])
+
+
+@query(PROFILE_SQL + " SELECT id, round(bm25, 6) AS bm25 FROM docs JOIN scored USING (id) ORDER BY round(bm25, 6), year DESC, title, id LIMIT 12")
+def search_profile(spark, d):
+    hits = search.match(profile_index(spark, d), search.query_prefixes("then an"), search.PROFILE_WEIGHTS)
+    rows = b.docs(spark, d).join(hits, "id").withColumn("bm25", F.round("bm25", 6))
+    return search.page(rows, [F.col("bm25"), F.col("year").desc(), F.col("title"), F.col("id")]).select("id", "bm25")
+
+
+@query(PROFILE_SQL + " SELECT id FROM scored ORDER BY round(bm25, 6), id LIMIT 48")
+def search_candidates(spark, d):
+    return search.candidates(profile_index(spark, d), "then an")
+
+
+@query(W("docs") + " SELECT legal_type, year, count(*) AS documents FROM docs WHERE contains(lower(issuing_authority), 'src1') GROUP BY ALL")
+def api_home(spark, d):
+    return search.facets(b.docs(spark, d), issuer="src1").groupBy("legal_type", "year").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT count(*) AS documents FROM documents")
+def api_health(spark, d):
+    return b.table(spark, d, "documents").agg(F.count("*").alias("documents"))

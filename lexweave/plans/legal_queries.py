@@ -312,3 +312,57 @@ def ing_repair_dates(spark, d):
 
     rows = values(spark, "id long, document_number string, title string, issuance_date string, year int", (1, "", "", "05/06/2014", 2014), (2, "", "", "05/06/3014", None), (3, "", "", "abc", 7))
     return repaired_dates(rows, 2025).select("id", "issuance_date", "year")
+
+
+@query(expected("k INTEGER, change VARCHAR, label VARCHAR", (1, "unchanged", "same label"), (2, "expanded", "same article"), (3, "reduced", "similar content"), (4, "rewritten", "same label"), (5, "repeal instruction", "explicit citation"), (6, "targeted reference", "single article reference")))
+def cmp_describe(spark, d):
+    rows = values(
+        spark, "k int, reason string, score double, left_text string, changed int, added int, removed int",
+        (1, "same-label", 1.0, "x", 0, 0, 0), (2, "same-article", 0.5, "x", 1, 2, 0), (3, "similar-content", 0.7, "x", 0, 0, 1), (4, "same-label", 0.9, "x", 2, 1, 1), (5, "explicit-citation", 0.1, "Bãi bỏ Điều 1", 0, 0, 0), (6, "referenced-article", 0.1, "Điều 2", 0, 0, 0),
+    )
+    return compare.describe(rows, lifecycle=True).select("k", "change", compare.reason_label(F.col("reason")).alias("label"))
+
+
+@query(expected("left_id BIGINT, right_id BIGINT, matched BIGINT, left_only BIGINT, right_only BIGINT, explicit BIGINT", (1, 2, 2, 0, 1, 1)))
+def agg_compare_counts(spark, d):
+    docs = values(spark, "id long, content string", (1, "Điều 1. same text"), (2, "Điều 1. same text\n# Phụ lục\nđuôi"))
+    links = values(spark, "left_id long, right_id long, anchor string, referenced_label string", (1, 2, "điều-1-1", "Điều 1"))
+    return compare.counts(compare.align(values(spark, "left_id long, right_id long", (1, 2)), segment.sections(docs), links))
+
+
+@query(expected("mention_order INTEGER, target_section_ordinal INTEGER", (1, 2), (2, 3), (3, None), (4, None)))
+def graph_target_section(spark, d):
+    parts = segment.sections(values(spark, "id long, content string", (9, "mở\nĐiều 1\na\nĐiều 2. b")))
+    links = values(spark, "source_document_id long, section_ordinal int, mention_order int, target_document_id long, referenced_label string", (1, 1, 1, 9, "Điều 1"), (1, 1, 2, 9, "Khoản 3 Điều 2"), (1, 1, 3, 9, None), (1, 1, 4, 9, "Chương X"))
+    return resolve.target_sections(links, parts).select("mention_order", "target_section_ordinal")
+
+
+@query(
+    expected(
+        "document_id BIGINT, heading_index VARCHAR, article_index VARCHAR, citation_index VARCHAR, keyword_index VARCHAR, chunk_count INTEGER",
+        (1, "dieu 1\ndieu 2", "dieu 1\ndieu 5\ndieu 2", "12/2014/ND/CP", "thue nghi dinh", 2), (2, "", "", "", "", 0),
+    )
+)
+def seg_profile(spark, d):
+    docs = values(spark, "id long, title string, legal_type string, content string", (1, "Thuế", "Nghị định", "Điều 1. Xem Điều 5 và 12/2014/NĐ-CP\nĐiều 2. Hết"), (2, None, None, None))
+    return segment.profiles(docs, segment.passages(docs), {"title": 4, "legal_type": 3}, ("title", "content")).drop("source_hash")
+
+
+@query(expected("id BIGINT, content_html VARCHAR", (1, "abc"), (4, "x")))
+def src_content_cache(spark, d):
+    from ..sources.corpus import longest_content
+
+    return longest_content(values(spark, "id long, content_html string", (1, "a"), (1, "abc"), (2, ""), (3, None), (4, "x")))
+
+
+@query(expected("document_id BIGINT, heading VARCHAR, text VARCHAR, bm25 DOUBLE", (7, "Overview", "Tên. phần mở", -8.0), (8, "Overview", "Hai. x", -7.0)))
+def passage_overview(spark, d):
+    from ..operators.search import overview_passages
+
+    hits = values(spark, "position int, id long, title string, snippet string", (1, 7, "Tên", "<mark>phần</mark> mở"), (2, 8, "Hai", "x"), (9, 9, "Xa", "y"))
+    return overview_passages(hits).select("document_id", "heading", "text", "bm25")
+
+
+@query(expected("alias VARCHAR, id BIGINT", ("12/2014/nd-cp", 1), ("12/2014/nd/cp", 1), ("12-2014-nd-cp", 1), ("12", 1), ("12/nd", 1), ("12-nd", 1), ("12/nd-cp", 1), ("12-nd-cp", 1)))
+def er_index(spark, d):
+    return resolve.alias_index(corpus(spark).where("id = 1"))
