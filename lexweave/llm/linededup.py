@@ -183,7 +183,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
     scan = durable(source.mapInArrow(_scan(run_words, sure_words), f"id {kind}, th long, {_LISTS}").where("size(print) > 0"), "lines")
     marks = scan.select("id", "th", F.inline(F.arrays_zip("print", "at", "lines", "lo", "hi")))
     first = marks.groupBy("print").agg(F.min(F.struct("id", "th", "at", "lines")).alias("f"), F.min(F.struct("id", "th", "at")).alias("least"), F.max(F.struct("id", "th", "at")).alias("most")).where("least != most").select("print", "f")
-    joined = marks.join(first, "print").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))))
+    # stored, so that the join has a shuffle on either side and adaptive execution can split a frequent fingerprint
+    joined = marks.join(durable(first, "first-places"), "print").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))))
     back, on = F.col("at") - F.col("lo"), F.col("hi") - F.col("at")
     pairs = joined.select("id", "th", "at", "lines", F.col("f.id").alias("source_id"), F.col("f.th").alias("source_th"), F.col("f.at").alias("source_at"), (F.col("lines") == F.col("f.lines")).alias("same_shape"), F.greatest(F.col("f.at") - back, F.lit(0)).alias("theirs_from"), (F.col("f.at") + on).alias("theirs_to"))
     sources = scan.select(F.col("id").alias("source_id"), F.col("th").alias("source_th"), "hashes").dropDuplicates(["source_id", "source_th"])
