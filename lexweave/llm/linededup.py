@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -12,22 +13,29 @@ from .bytesets import IS_SPACE, LOWER, RangeHash, U, blocks, words
 from .durable import durable
 
 #: Words that a fingerprinted run of lines has at least.
-RUN_WORDS = 20
+RUN_WORDS = 12
 #: A run of so many words that two documents share is sure to give a common fingerprint.
-SURE_WORDS = 40
+SURE_WORDS = 28
+#: Words of a repeated run from which on it is deleted.
+LEAST_WORDS = 20
+#: A line also ends behind one of so many words, chosen by the word's hash.
+CUT_WORDS = 6
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lines(data: np.ndarray, offsets: np.ndarray, further: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, words, first line of each row and the total).
 
     A line ends behind a line feed, or behind a space that follows ``.``,
-    ``!`` or ``?``: texts without line feeds have lines too. A line without a
-    word belongs to the one before it, or else to the one after it.
+    ``!`` or ``?``: texts without line feeds have lines too. It also ends at
+    the places ``further``. A line without a word belongs to the one before
+    it, or else to the one after it.
     """
     after = np.zeros(len(data) + 1, bool)
     after[1:] = data == 10
     after[2:] |= (data[1:] == 32) & ((data[:-1] == 46) | (data[:-1] == 33) | (data[:-1] == 63))
     after[offsets] = True
+    if further is not None:
+        after[further] = True
     cuts = np.flatnonzero(after[: len(data)])
     begin, _, _ = words(data, offsets)
     count = np.diff(np.append(np.searchsorted(begin, cuts), len(begin)))
@@ -48,11 +56,17 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WOR
     ``sure_words`` words hold equal windows, and so give equal fingerprints
     wherever they stand. A row of fewer words is one window. Hashes ignore
     white space and the case of A-Z.
+
+    Lines end behind every word whose hash is a multiple of ``CUT_WORDS`` as
+    well. That hangs on the word alone, so a shared stretch has the same lines
+    wherever it begins and ends, also in the midst of an endless line.
     """
-    starts, count, first = lines(data, offsets)
     solid = ~IS_SPACE[data]
     place = np.concatenate(([0], np.cumsum(solid)))
     ranges = RangeHash(LOWER[data[solid]])
+    word, word_end, _ = words(data, offsets)
+    chosen = ranges(place[word], place[word_end]) % U(CUT_WORDS) == 0 if len(word) else np.zeros(0, bool)
+    starts, count, first = lines(data, offsets, word_end[chosen])
     n = len(starts)
     ends = place[np.append(starts[1:], len(data))] if n else starts
     begins = place[starts]
@@ -89,7 +103,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WOR
     return starts, count, hashes, first, at, run_end[at] - at + 1, run_hash[at]
 
 
-_LISTS = "starts array<int>, words array<int>, hashes array<long>, at array<int>, lines array<int>, lo array<int>, hi array<int>, print array<long>"
+_LISTS = "sizes array<int>, words array<int>, hashes array<int>, at array<int>, lines array<int>, lo array<int>, hi array<int>, print array<long>"
 
 
 def _scan(run_words: int, sure_words: int):
@@ -102,22 +116,26 @@ def _scan(run_words: int, sure_words: int):
                 row = np.searchsorted(first, at, "right") - 1
                 head = first[row]
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points
-                own = np.searchsorted(first, np.arange(len(starts)), "right") - 1
-                # a match is extended no further than to the fingerprints before and behind it
+                sizes = np.diff(points[np.append(starts, len(data))])  # a row's last line may get too many, which nothing reads
+                # a match is extended to the fingerprints before and behind it, and by sure_words words at
+                # least: those may be fingerprints here alone, for what stands outside the shared stretch
                 near = np.diff(row) == 0
                 lo, hi = np.zeros(len(at), np.int64), first[row + 1] - head - 1 if len(at) else at
                 lo[1:] = np.where(near, at[:-1] - head[1:], 0)
                 hi[:-1] = np.where(near, at[1:] + size[1:] - 1 - head[:-1], hi[:-1])
+                upto = np.cumsum(count)
+                lo = np.minimum(lo, np.maximum(np.searchsorted(upto - count, (upto - count)[at] - sure_words), head) - head)
+                hi = np.maximum(hi, np.minimum(np.searchsorted(upto, upto[at + size - 1] + sure_words), first[row + 1] - 1) - head)
                 by_line = lambda x, t, first=first: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, t))
                 by_print = lambda x, t, cut=cut: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, t))
                 i32, i64 = pa.int32(), pa.int64()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(base, n), batch.column(1).slice(base, n),
-                        by_line(points[starts] - points[offsets[own]] if len(starts) else starts, i32), by_line(count, i32), by_line(hashes.view(np.int64), i64),
+                        by_line(sizes, i32), by_line(count, i32), by_line((hashes >> U(32)).astype(np.uint32).view(np.int32), i32),
                         by_print(at - head if len(at) else at, i32), by_print(size, i32), by_print(lo, i32), by_print(hi, i32), by_print(prints.view(np.int64), i64),
                     ],
-                    names=["id", "th", "starts", "words", "hashes", "at", "lines", "lo", "hi", "print"],
+                    names=["id", "th", "sizes", "words", "hashes", "at", "lines", "lo", "hi", "print"],
                 )
 
     return run
@@ -130,14 +148,14 @@ def text_hash(text: str) -> F.Column:
 _RUNS = "array<struct<first_line:int,n_lines:int,start:int,stop:int,n_words:int,source_id:{kind},source_line:int>>"
 
 
-def _extend(kind: str):
-    """Each row's matches to runs of lines to delete. A match: place, lines, source id, source place, source lines from, their hashes."""
+def _extend(kind: str, least_words: int):
+    """Each row's matches to runs of lines to delete, of ``least_words`` words or more. A match: place, lines, source id, source place, source lines from, their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for starts, count, hashes, matches in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                n = len(hashes)
+            for sizes, count, hashes, matches in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                n, starts = len(hashes), [0, *accumulate(sizes[:-1])]
                 source: list[tuple | None] = [None] * n
                 for m in sorted(matches, key=lambda m: (m["at"], m["source_at"])):
                     at, size, src = m["at"], m["lines"], m["source_at"]
@@ -158,7 +176,8 @@ def _extend(kind: str):
                     e = t
                     while e + 1 < n and source[e + 1] is not None:
                         e += 1
-                    runs.append({"first_line": t, "n_lines": e - t + 1, "start": starts[t], "stop": starts[e + 1] if e + 1 < n else None, "n_words": sum(count[t : e + 1]), "source_id": source[t][0], "source_line": source[t][1]})
+                    if sum(count[t : e + 1]) >= least_words:
+                        runs.append({"first_line": t, "n_lines": e - t + 1, "start": starts[t], "stop": starts[e + 1] if e + 1 < n else None, "n_words": sum(count[t : e + 1]), "source_id": source[t][0], "source_line": source[t][1]})
                     t = e + 1
                 out.append(runs)
             kinds = pa.struct([("first_line", pa.int32()), ("n_lines", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()), ("source_id", batch.schema.field(0).type), ("source_line", pa.int32())])
@@ -167,34 +186,39 @@ def _extend(kind: str):
     return run
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, sure_words: int = SURE_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, th, runs) of each document with lines that an earlier place holds too.
 
     Places are ordered by id, then a hash of the text, then line. Every
     fingerprint is joined with its first place; from there the match goes on
-    line by line both ways. A run is (first_line, n_lines, start, stop,
-    n_words, source_id, source_line); start and stop count characters, and stop
-    is null at the end of the text. Every deleted line stays in an earlier
-    place. Rows of equal id and text are one document. Runs of fewer than
-    ``run_words`` words are never touched.
+    line by line both ways, by 32 bits of each line's hash (the fingerprints
+    themselves have 64). A run is (first_line, n_lines, start, stop, n_words,
+    source_id, source_line); start and stop count characters, and stop is null
+    at the end of the text. Every deleted line stays in an earlier place. Rows
+    of equal id and text are one document. Runs of fewer than ``least_words``
+    words are never touched.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), text_hash(text).alias("th"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scan = durable(source.mapInArrow(_scan(run_words, sure_words), f"id {kind}, th long, {_LISTS}").where("size(print) > 0"), "lines")
     marks = scan.select("id", "th", F.inline(F.arrays_zip("print", "at", "lines", "lo", "hi")))
-    first = marks.groupBy("print").agg(F.min(F.struct("id", "th", "at", "lines")).alias("f"), F.min(F.struct("id", "th", "at")).alias("least"), F.max(F.struct("id", "th", "at")).alias("most")).where("least != most").select("print", "f")
-    # stored, so that the join has a shuffle on either side and adaptive execution can split a frequent fingerprint
-    joined = marks.join(durable(first, "first-places"), "print").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))))
+    # only the hashes are counted at first; places are compared of those that occur twice
+    twice = durable(marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "repeated-prints")
+    # tables are stored before a join, so that it has a shuffle on either side and adaptive execution can split a frequent fingerprint
+    shared = durable(marks.join(twice, "print"), "repeated-marks")
+    first = durable(shared.groupBy("print").agg(F.min(F.struct("id", "th", "at", "lines")).alias("f")), "first-places")
+    joined = shared.join(first, "print").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))))
     back, on = F.col("at") - F.col("lo"), F.col("hi") - F.col("at")
-    pairs = joined.select("id", "th", "at", "lines", F.col("f.id").alias("source_id"), F.col("f.th").alias("source_th"), F.col("f.at").alias("source_at"), (F.col("lines") == F.col("f.lines")).alias("same_shape"), F.greatest(F.col("f.at") - back, F.lit(0)).alias("theirs_from"), (F.col("f.at") + on).alias("theirs_to"))
-    sources = scan.select(F.col("id").alias("source_id"), F.col("th").alias("source_th"), "hashes").dropDuplicates(["source_id", "source_th"])
-    seen = pairs.join(sources, pairs.source_id.eqNullSafe(sources.source_id) & (pairs.source_th == sources.source_th)).select(
-        "id", "th", F.struct("at", "lines", pairs.source_id, "source_at", "same_shape", "theirs_from", F.slice("hashes", F.col("theirs_from") + 1, F.col("theirs_to") - F.col("theirs_from") + 1).alias("theirs")).alias("m")
-    )
-    matches = seen.groupBy("id", "th").agg(F.collect_set("m").alias("matches"))
-    own = scan.select(F.col("id").alias("own_id"), F.col("th").alias("own_th"), "starts", "words", "hashes").dropDuplicates(["own_id", "own_th"])
-    full = matches.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))).select("id", "th", "starts", "words", "hashes", "matches")
-    return full.mapInArrow(_extend(kind), f"id {kind}, th long, runs {_RUNS.format(kind=kind)}")
+    match = [F.col("f.id").alias("source_id"), F.col("f.at").alias("source_at"), (F.col("lines") == F.col("f.lines")).alias("same_shape"), F.greatest(F.col("f.at") - back, F.lit(0)).alias("theirs_from"), (F.col("f.at") + on).alias("theirs_to")]
+    pairs = joined.select("id", "th", "at", "lines", *match, F.xxhash64("f.id").alias("key"), F.col("f.th").alias("key_th"))
+    # documents are joined by hashes of id and text, neither null: one shuffle serves the distinct rows and the join
+    known = scan.select(F.xxhash64("id").alias("key"), F.col("th").alias("key_th"), "sizes", "words", "hashes")
+    sources = known.select("key", "key_th", "hashes").dropDuplicates(["key", "key_th"])
+    theirs = F.slice("hashes", F.col("theirs_from") + 1, F.col("theirs_to") - F.col("theirs_from") + 1).alias("theirs")
+    seen = pairs.join(sources, ["key", "key_th"]).select("id", "th", F.struct("at", "lines", "source_id", "source_at", "same_shape", "theirs_from", theirs).alias("m"))
+    matches = seen.select(F.xxhash64("id").alias("key"), F.col("th").alias("key_th"), "id", "m").groupBy("key", "key_th").agg(F.first("id").alias("id"), F.collect_set("m").alias("matches"))
+    full = matches.join(known.dropDuplicates(["key", "key_th"]), ["key", "key_th"]).select("id", F.col("key_th").alias("th"), "sizes", "words", "hashes", "matches")
+    return full.mapInArrow(_extend(kind, least_words), f"id {kind}, th long, runs {_RUNS.format(kind=kind)}")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -132,3 +132,27 @@ def test_every_deleted_line_stays_somewhere(spark):
     have = {x for t in kept.values() for x in cut(t)}
     assert {x for t in texts.values() for x in cut(t)} <= have
     assert sum(map(len, kept.values())) < sum(map(len, texts.values()))
+
+
+def test_stretches_inside_endless_lines(spark):
+    """Shared stretches of 60 words that begin and end in the midst of a line, with no line feed or sentence end anywhere."""
+    rng = random.Random(5)
+    say = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    shared = [say(60) for _ in range(10)]
+    texts, clean = {}, {}
+    for i in range(80):
+        before, after = say(rng.randrange(5, 90)), say(rng.randrange(5, 90))
+        if i % 4 == 3:
+            clean[i] = texts[i] = " ".join(before + after)
+        else:
+            texts[i] = " ".join(before + shared[i % 10] + after)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in ld.drop_repeated_lines(df).collect()}
+    assert set(kept) == set(texts) and all(kept[i] == t for i, t in clean.items())
+    seen = set()
+    for i in sorted(kept):
+        words = kept[i].split()
+        windows = {tuple(words[k : k + 50]) for k in range(len(words) - 49)}
+        assert not windows & seen
+        seen |= windows
+    assert all(" ".join(s) in texts[i] and any(" ".join(s) in t for t in kept.values()) for i, s in enumerate(shared) if i % 4 != 3)
