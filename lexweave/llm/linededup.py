@@ -148,26 +148,45 @@ def text_hash(text: str) -> F.Column:
 _RUNS = "array<struct<first_line:int,n_lines:int,start:int,stop:int,n_words:int,source_id:{kind},source_line:int>>"
 
 
+def _offsets(column: pa.ListArray) -> list[int]:
+    """Where each row's values begin among all, and the end."""
+    return [0, *accumulate(column.value_lengths().to_pylist())]
+
+
+def _flat(column: pa.ListArray) -> tuple[list, list[int]]:
+    """(all values, offsets) of a column of lists of numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).tolist(), _offsets(column)
+
+
 def _extend(kind: str, least_words: int):
     """Each row's matches to runs of lines to delete, of ``least_words`` words or more. A match: place, lines, source id, source place, source lines from, their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for sizes, count, hashes, matches in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            all_sizes, _ = _flat(batch.column(2))
+            all_counts, _ = _flat(batch.column(3))
+            all_hashes, cut = _flat(batch.column(4))
+            fields = dict(zip((f.name for f in batch.schema.field(5).type.value_type), batch.column(5).flatten().flatten()))
+            places, sizes_of, ids, source_at, shapes, theirs_from = (fields[k].to_pylist() for k in ("at", "lines", "source_id", "source_at", "same_shape", "theirs_from"))
+            all_theirs, theirs_cut = _flat(fields["theirs"])
+            match_cut = _offsets(batch.column(5))
+            for r in range(batch.num_rows):
+                own = slice(cut[r], cut[r + 1])
+                sizes, count, hashes = all_sizes[own], all_counts[own], all_hashes[own]
                 n, starts = len(hashes), [0, *accumulate(sizes[:-1])]
                 source: list[tuple | None] = [None] * n
-                for m in sorted(matches, key=lambda m: (m["at"], m["source_at"])):
-                    at, size, src = m["at"], m["lines"], m["source_at"]
-                    theirs, shift = m["theirs"], src - m["theirs_from"] - at  # line t is theirs[t + shift]
-                    a, b = at, at + size - 1
-                    while a > 0 and 0 <= a - 1 + shift < len(theirs) and hashes[a - 1] == theirs[a - 1 + shift]:
+                for m in sorted(range(match_cut[r], match_cut[r + 1]), key=lambda m: (places[m], source_at[m])):
+                    at, src = places[m], source_at[m]
+                    theirs, shift = all_theirs[theirs_cut[m] : theirs_cut[m + 1]], src - theirs_from[m] - at  # line t is theirs[t + shift]
+                    a, b = at, at + sizes_of[m] - 1
+                    while a > 0 and a - 1 + shift >= 0 and hashes[a - 1] == theirs[a - 1 + shift]:
                         a -= 1
-                    while b + 1 < n and m["same_shape"] and 0 <= b + 1 + shift < len(theirs) and hashes[b + 1] == theirs[b + 1 + shift]:
+                    while b + 1 < n and shapes[m] and b + 1 + shift < len(theirs) and hashes[b + 1] == theirs[b + 1 + shift]:
                         b += 1
                     for t in range(a, b + 1):
                         if source[t] is None:
-                            source[t] = (m["source_id"], src + t - at)
+                            source[t] = (ids[m], src + t - at)
                 runs, t = [], 0
                 while t < n:
                     if source[t] is None:
@@ -210,14 +229,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
     joined = shared.join(first, "print").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))))
     back, on = F.col("at") - F.col("lo"), F.col("hi") - F.col("at")
     match = [F.col("f.id").alias("source_id"), F.col("f.at").alias("source_at"), (F.col("lines") == F.col("f.lines")).alias("same_shape"), F.greatest(F.col("f.at") - back, F.lit(0)).alias("theirs_from"), (F.col("f.at") + on).alias("theirs_to")]
-    pairs = joined.select("id", "th", "at", "lines", *match, F.xxhash64("f.id").alias("key"), F.col("f.th").alias("key_th"))
+    pairs = durable(joined.select("id", "th", "at", "lines", *match, F.xxhash64("f.id").alias("key"), F.col("f.th").alias("key_th")), "line-matches")
     # documents are joined by hashes of id and text, neither null: one shuffle serves the distinct rows and the join
-    known = scan.select(F.xxhash64("id").alias("key"), F.col("th").alias("key_th"), "sizes", "words", "hashes")
-    sources = known.select("key", "key_th", "hashes").dropDuplicates(["key", "key_th"])
+    known = scan.select(F.xxhash64("id").alias("key"), F.col("th").alias("key_th"), "sizes", "words", "hashes").dropDuplicates(["key", "key_th"])
+    sources = durable(known.select("key", "key_th", "hashes").join(pairs.select("key", "key_th").distinct(), ["key", "key_th"]), "line-sources")
     theirs = F.slice("hashes", F.col("theirs_from") + 1, F.col("theirs_to") - F.col("theirs_from") + 1).alias("theirs")
     seen = pairs.join(sources, ["key", "key_th"]).select("id", "th", F.struct("at", "lines", "source_id", "source_at", "same_shape", "theirs_from", theirs).alias("m"))
     matches = seen.select(F.xxhash64("id").alias("key"), F.col("th").alias("key_th"), "id", "m").groupBy("key", "key_th").agg(F.first("id").alias("id"), F.collect_set("m").alias("matches"))
-    full = matches.join(known.dropDuplicates(["key", "key_th"]), ["key", "key_th"]).select("id", F.col("key_th").alias("th"), "sizes", "words", "hashes", "matches")
+    full = matches.join(known, ["key", "key_th"]).select("id", F.col("key_th").alias("th"), "sizes", "words", "hashes", "matches")
     return full.mapInArrow(_extend(kind, least_words), f"id {kind}, th long, runs {_RUNS.format(kind=kind)}")
 
 
