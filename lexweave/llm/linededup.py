@@ -18,6 +18,8 @@ RUN_WORDS = 12
 SURE_WORDS = 28
 #: Words of a repeated run from which on it is deleted.
 LEAST_WORDS = 20
+#: Documents whose matches are extended at a time.
+EXTEND_ROWS = 128
 #: A line also ends behind one of so many words, chosen by the word's hash.
 CUT_WORDS = 6
 
@@ -162,7 +164,8 @@ def _extend(kind: str, least_words: int):
     """Each row's matches to runs of lines to delete, of ``least_words`` words or more. A match: place, lines, source id, source place, source lines from, their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few rows at a time: as Python numbers they take many times their Arrow size
+        for batch in (whole.slice(at, EXTEND_ROWS) for whole in batches for at in range(0, whole.num_rows, EXTEND_ROWS)):
             out = []
             all_sizes, _ = _flat(batch.column(2))
             all_counts, _ = _flat(batch.column(3))
