@@ -60,6 +60,12 @@ def tracked_ids(spark, d):
     return b.marks(spark, d).join(wanted, "document_id", "left_semi").select("document_id")
 
 
+@query(W("marks") + " SELECT document_id FROM marks WHERE document_id IN (SELECT doc_id FROM documents)")
+def tracked_ids_all(spark, d):
+    wanted = b.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
+    return b.marks(spark, d).join(wanted, "document_id", "left_semi").select("document_id")
+
+
 @query(W("docs", "marks") + " SELECT document_id FROM marks UNION SELECT id FROM docs WHERE id = 3 EXCEPT SELECT 5")
 def tracked_set(spark, d):
     docs, now = b.docs(spark, d), F.to_timestamp(F.lit("2024-02-01"))
@@ -104,6 +110,14 @@ def agg_section_citations(spark, d):
     return catalog.section_citation_counts(sections, one, links.withColumn("mention_order", F.lit(1)))
 
 
+@query(W("links") + ", secs AS (SELECT o_orderkey AS document_id, k AS section_ordinal FROM orders CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k)) SELECT document_id, CAST(section_ordinal AS INTEGER) AS section_ordinal, count(target_id) AS links FROM secs LEFT JOIN links ON document_id = source_id AND section_ordinal = section GROUP BY ALL")
+def agg_section_citations_all(spark, d):
+    sections = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("section_ordinal"))
+    links = b.links(spark, d).select(F.col("source_id").alias("document_id"), F.col("section").alias("section_ordinal"), F.monotonically_increasing_id().alias("mention_order"), F.col("target_id").alias("target_document_id"))
+    one = links.select("document_id", "section_ordinal").distinct().withColumn("mention_order", F.lit(1))
+    return catalog.section_citation_counts(sections, one, links.withColumn("mention_order", F.lit(1)))
+
+
 @query(W("subjects", "bridge") + " SELECT id, name, count(document_id) AS documents FROM subjects LEFT JOIN bridge ON id = subject_id GROUP BY ALL")
 def agg_subject_counts(spark, d):
     return catalog.subject_counts(b.subjects(spark, d), b.bridge(spark, d))
@@ -114,6 +128,11 @@ def document_subjects(spark, d):
     return b.bridge(spark, d).where("document_id < 50").join(b.subjects(spark, d), F.col("subject_id") == F.col("id")).select("document_id", "name")
 
 
+@query(W("subjects", "bridge") + " SELECT document_id, name FROM bridge JOIN subjects ON subject_id = id")
+def document_subjects_all(spark, d):
+    return b.bridge(spark, d).join(b.subjects(spark, d), F.col("subject_id") == F.col("id")).select("document_id", "name")
+
+
 @query(
     W("docs", "bridge")
     + """, f AS (SELECT document_id, subject_id, year, issuance_date, title FROM bridge JOIN docs ON document_id = id),

@@ -290,6 +290,16 @@ def flt_unchanged(spark, d):
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS value FROM documents WHERE doc_id < 300 AND doc_id % 5 <> 0")
 def sink_import_documents(spark, d):
     """Insert, upsert a third (twice), then delete a fifth, in a versioned table."""
+    return imported(spark, b.table(spark, d, "documents").where("doc_id < 300"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS value FROM documents WHERE doc_id % 5 <> 0")
+def sink_import_documents_all(spark, d):
+    """The same over all documents."""
+    return imported(spark, b.table(spark, d, "documents"))
+
+
+def imported(spark: SparkSession, documents: DataFrame) -> DataFrame:
     import tempfile
     import uuid
 
@@ -297,7 +307,7 @@ def sink_import_documents(spark, d):
 
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
     t = VersionedTable(spark, f"{base}/versioned-{uuid.uuid4().hex}", "id long, value string", ["id"])
-    docs = b.table(spark, d, "documents").where("doc_id < 300").select(F.col("doc_id").alias("id"), F.col("lang").alias("value"))
+    docs = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("value"))
     t.upsert(docs)
     new = docs.where("id % 3 = 0").withColumn("value", F.upper("value"))
     t.upsert(new)
