@@ -15,8 +15,9 @@ from .durable import durable
 RADIUS = 2
 SHINGLE_WORDS = 3
 TILE = 2048
-#: Bit ranges of a fingerprint. Two that differ in at most RADIUS bits agree on one of RADIUS + 1 ranges.
-BANDS = ((0, 21), (21, 21), (42, 22))
+#: Pairs of the four 16-bit ranges of a fingerprint. Bits that differ lie in at most RADIUS ranges, so two
+#: fingerprints within the radius agree on one of these pairs: a key of 32 bits, which few others share.
+BANDS = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
 _LANES = U(0x0001000100010001)
 
 
@@ -129,16 +130,18 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     """(a, b) pairs of the distinct fingerprints in column ``fp`` that join all within RADIUS bits.
 
-    Tiles are cut by bit range: fingerprints within the radius agree on one of
-    the ranges in ``BANDS``, so tiles of unlike range values are never paired.
-    A range value shared by over ``tile`` fingerprints is cut again, by
-    population count and a hash; each of its fingerprints goes to the pairs of
-    tiles that lie within the radius. No link is lost, and no task gets more
-    than two tiles of a group.
+    Tiles are cut by bit ranges: fingerprints within the radius agree on one of
+    the pairs of ranges in ``BANDS``, so tiles of unlike values are never paired.
+    A value shared by over ``tile`` fingerprints is cut again, by population
+    count and a hash; each of its fingerprints goes to the pairs of tiles that
+    lie within the radius. No link is lost, and no task gets more than two
+    tiles of a group.
     """
-    band = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1)).alias("key")) for k, (lo, n) in enumerate(BANDS)])).alias("x")
+    part = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
+    band = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), (part(x) * 65_536 + part(y)).alias("key")) for k, (x, y) in enumerate(BANDS)])).alias("x")
     cut = prints.select("fp", band).select("fp", "x.band", "x.key")
-    sizes = cut.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join has a plain shuffle on either side and a frequent value can be split
+    sizes = durable(cut.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared-ranges")
     pop = F.bit_count("fp").cast("int")
     parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     own = F.struct(pop.alias("pop"), F.pmod(F.hash("fp"), parts).alias("part"))
@@ -163,6 +166,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     prints = durable(own.groupBy("fp").agg(F.min("id").alias("rep")), "distinct-fingerprints")
     roots = connected_components(links(prints.select("fp")), "a", "b")
     placed = durable(prints.join(roots, prints.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = durable(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least-ids")
     labels = durable(placed.join(least, "root").select("fp", "component_id"), "labels")
     return own.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
