@@ -16,10 +16,16 @@ COMMON_WORDS = {
 #: Texts of fewer words are too short for a histogram to tell: the divergence rules leave them alone.
 LEAST_WORDS = 50
 #: Jensen-Shannon distances (0 to 1) beyond which a text is unlike its language.
-CHARS_BEYOND, WORDS_BEYOND = 0.30, 0.45
+CHARS_BEYOND, WORDS_BEYOND = 0.20, 0.40
+#: Languages with fewer documents that pass the base rules have no reference: their texts lie at distance 0.
+LEAST_DOCUMENTS = 20
+#: References of at most so many languages are broadcast (each has some 30 numbers); beyond, both sides are shuffled.
+BROADCAST_LANGUAGES = 10_000
 SPACES = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-CLASSES = ("spaces", "symbols", "digits", "capitals", "marks", "foreign", "small")
+#: Symbols by class of characters: what joins columns and what joins tags are told from the rest.
+SYMBOL_CLASSES = {"bars": "|", "brackets": "<>", "symbols": "#*$%&"}
+CLASSES = ("spaces", *SYMBOL_CLASSES, "digits", "capitals", "marks", "foreign", "small")
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -64,7 +70,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple
     left = lambda chars: F.length("rest") - F.length(F.regexp_replace("rest", chars, ""))
     hashed = counted.select(
         *keep, "lang_", "n_words", "word_chars", "n_dup_lines", "n_chars_",
-        (F.length("rest") - F.length(_without(F.col("rest"), SYMBOLS))).cast("long").alias("n_symbols"),
+        *[(F.length("rest") - F.length(_without(F.col("rest"), chars))).cast("long").alias(name) for name, chars in SYMBOL_CLASSES.items()],
         left("[0-9]+").alias("digits"), left("[A-Z]+").alias("capitals"), left(r"""[.,;:!?'"()\-]+""").alias("marks"), left(r"[^\x00-\x7F]+").alias("foreign"),
         F.transform("known", lambda c: F.size(F.filter("hit", lambda w: w == c)).cast("long")).alias("hits"),
         F.when(F.col("n_words") >= 5, window).alias("win"),
@@ -74,9 +80,11 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple
     same = lambda x, i: F.coalesce(F.get("sorted", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("sorted", i + 1)["h"] == x["h"], F.lit(False))
     placed = twice.withColumn("places", F.sort_array(F.transform(F.filter("sorted", same), lambda x: x["i"]))).drop("sorted")
     spaces = F.col("n_chars_") - F.col("word_chars")
-    small = F.col("n_chars_") - spaces - F.col("n_symbols") - F.col("digits") - F.col("capitals") - F.col("marks") - F.col("foreign")
-    chars = F.array(*[c.cast("long") for c in (spaces, F.col("n_symbols"), F.col("digits"), F.col("capitals"), F.col("marks"), F.col("foreign"), small)])
-    return placed.select(*keep, "lang_", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("places"), "places").alias("n_repeat_words"), chars.alias("chars"), "hits")
+    inner = [F.col(c) for c in CLASSES[1:-1]]
+    small = F.col("n_chars_") - spaces - sum(inner[1:], inner[0])
+    chars = F.array(*[c.cast("long") for c in (spaces, *inner, small)])
+    symbols = sum((F.col(c) for c in list(SYMBOL_CLASSES)[1:]), F.col(next(iter(SYMBOL_CLASSES)))).alias("n_symbols")
+    return placed.select(*keep, "lang_", "n_words", "word_chars", symbols, "n_dup_lines", repeated_words(F.col("places"), "places").alias("n_repeat_words"), chars.alias("chars"), "hits")
 
 
 def distance(p: Column, q: Column, width: int) -> Column:
@@ -91,27 +99,32 @@ def distance(p: Column, q: Column, width: int) -> Column:
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(out, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", common: dict[str, list[str]] = COMMON_WORDS, least_words: int = LEAST_WORDS, chars_beyond: float = CHARS_BEYOND, words_beyond: float = WORDS_BEYOND) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", common: dict[str, list[str]] = COMMON_WORDS, least_words: int = LEAST_WORDS, chars_beyond: float = CHARS_BEYOND, words_beyond: float = WORDS_BEYOND, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """One row per document: id, the base counts, base_failed, chars_distance, words_distance, kept.
 
     The reference of a language is the sum of the histograms of all its
-    documents: seven classes of characters, and its common words against all
-    others. A document is kept if it passes the base rules and, where it has
-    ``least_words`` words, neither histogram lies beyond its bound from the
-    language's. Null languages are one language without common words; a
-    language without a word list is judged by characters alone. Null and empty
-    texts have no words and fail the base rules. Repeated rows each return a
-    row. An empty table gives an empty result.
+    documents that pass the base rules: nine classes of characters, and its
+    common words against all others. A document is kept if it passes the base
+    rules and, where it has ``least_words`` words, neither histogram lies
+    beyond its bound from the language's. A language with fewer than
+    ``least_documents`` such documents has no reference; distances are 0 there.
+    Null languages are one language without common words; a language without a
+    word list is judged by characters alone. Null and empty texts have no words
+    and fail the base rules. Repeated rows each return a row. An empty table
+    gives an empty result.
     """
     own = durable(measure(docs, text, lang, (id_col,), common), "quality-counts")
     most = max(len(v) for v in common.values())
     sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))] + [F.sum(F.coalesce(F.get("hits", F.lit(k)), F.lit(0))).alias(f"h{k}") for k in range(most)]
-    totals = own.groupBy("lang_").agg(*sums, F.sum("n_words").alias("all_words"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    totals = own.where(~failed).groupBy("lang_").agg(*sums, F.sum("n_words").alias("all_words"), F.count("*").alias("n")).where(F.col("n") >= least_documents)
     rest = lambda hits, n: F.concat(hits, F.array(n - F.aggregate(hits, F.lit(0).cast("long"), lambda s, x: s + x)))
     padded = F.concat("hits", F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size("hits")))
     reference = totals.select("lang_", F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("ref_chars"), rest(F.array(*[f"h{k}" for k in range(most)]), F.col("all_words")).alias("ref_words"))
-    near = own.join(reference, "lang_").withColumn("words", rest(padded, F.col("n_words")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    reference = durable(reference, "quality-references")
+    # one row a language: sent to all tasks while that is small, so that no language's documents are gathered
+    small = reference.count() <= BROADCAST_LANGUAGES
+    near = own.join(F.broadcast(reference) if small else reference, "lang_", "left").withColumn("words", rest(padded, F.col("n_words")))
     told = near.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.round(distance(F.col("chars"), F.col("ref_chars"), len(CLASSES)), 6).alias("chars_distance"),

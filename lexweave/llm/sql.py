@@ -23,7 +23,7 @@ def quality_rules() -> str:
     most = max(len(v) for v in q.COMMON_WORDS.values())
     known = "CASE lg " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in q.COMMON_WORDS.items()) + " ELSE []::VARCHAR[] END"
     count = lambda cls: f"length(regexp_replace(t, '[^{cls}]', '', 'g'))"
-    chars = ["length(t) - word_chars", "n_symbols", count("0-9"), count("A-Z"), count(".,;:!?''\"()\\-"), "length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))"]
+    chars = ["length(t) - word_chars", *map(count, q.SYMBOL_CLASSES.values()), count("0-9"), count("A-Z"), count(".,;:!?''\"()\\-"), "length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))"]
     n = len(q.CLASSES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lower(coalesce(lang, '')) AS lg FROM documents),
@@ -35,11 +35,11 @@ b AS (SELECT rid, doc_id, t, lg, w, known, len(w) AS n_words, length(regexp_repl
 win AS (SELECT rid, i, w[i + 1:i + 5] AS k FROM (SELECT rid, w, unnest(range(len(w) - 4)) AS i FROM b WHERE len(w) >= 5)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM rep CROSS JOIN (SELECT unnest(range(5)) AS j) GROUP BY rid),
-h0 AS (SELECT b.*, coalesce(cov.n, 0) AS n_repeat_words, [{', '.join(chars)}] AS c6, list_transform(known, lambda c: len(list_filter(short, lambda x: x = c))) AS h FROM b LEFT JOIN cov USING (rid)),
-h AS (SELECT *, list_concat(c6, [length(t) - list_sum(c6)]) AS c, list_concat(list_concat(h, list_resize([]::BIGINT[], {most} - len(h), 0)), [n_words - coalesce(list_sum(h), 0)]) AS hw FROM h0),
-ref AS (SELECT lg, [{', '.join(f'sum(c[{k}])' for k in range(1, n + 1))}] AS rc, [{', '.join(f'sum(hw[{k}])' for k in range(1, most + 2))}] AS rw FROM h GROUP BY lg),
+h0 AS (SELECT b.*, coalesce(cov.n, 0) AS n_repeat_words, [{', '.join(chars)}] AS c0, list_transform(known, lambda c: len(list_filter(short, lambda x: x = c))) AS h FROM b LEFT JOIN cov USING (rid)),
+h AS (SELECT *, list_concat(c0, [length(t) - list_sum(c0)]) AS c, list_concat(list_concat(h, list_resize([]::BIGINT[], {most} - len(h), 0)), [n_words - coalesce(list_sum(h), 0)]) AS hw FROM h0),
+ref AS (SELECT lg, [{', '.join(f'sum(c[{k}])' for k in range(1, n + 1))}] AS rc, [{', '.join(f'sum(hw[{k}])' for k in range(1, most + 2))}] AS rw FROM h WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) GROUP BY lg HAVING count(*) >= {q.LEAST_DOCUMENTS}),
 j AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-             round({_distance('c', 'rc', n)}, 6) AS chars_distance, round({_distance('hw', 'rw', most + 1)}, 6) AS words_distance FROM h JOIN ref USING (lg))
+             round({_distance('c', 'rc', n)}, 6) AS chars_distance, round({_distance('hw', 'rw', most + 1)}, 6) AS words_distance FROM h LEFT JOIN ref USING (lg))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        base_failed, chars_distance::DOUBLE AS chars_distance, words_distance::DOUBLE AS words_distance,
        (NOT base_failed AND (n_words < {q.LEAST_WORDS} OR (chars_distance <= {q.CHARS_BEYOND} AND words_distance <= {q.WORDS_BEYOND}))) AS kept

@@ -22,9 +22,9 @@ def base(text):
 
 def chars(text):
     text = text or ""
-    out = [0] * 7
+    out = [0] * 9
     for c in text:
-        k = 0 if c in " \t\n\x0b\x0c\r" else 1 if c in Q.SYMBOLS else 2 if c in "0123456789" else 3 if "A" <= c <= "Z" else 4 if c in ".,;:!?'\"()-" else 5 if ord(c) > 127 else 6
+        k = 0 if c in " \t\n\x0b\x0c\r" else 1 if c == "|" else 2 if c in "<>" else 3 if c in Q.SYMBOLS else 4 if c in "0123456789" else 5 if "A" <= c <= "Z" else 6 if c in ".,;:!?'\"()-" else 7 if ord(c) > 127 else 8
         out[k] += 1
     return out
 
@@ -49,7 +49,7 @@ def test_against_brute_force(spark):
         return " ".join(rng.choice(plain) + rng.choice(["", "", ",", ".\n"]) for _ in range(n))
 
     rows = [(i, say(rng.randrange(0, 200)), "en") for i in range(60)]
-    rows += [(100, None, "en"), (101, "", None), (102, "a b c d e a b c d e", "en"), (103, "x " * 300, "EN"), (104, " a\x85b c\x1cd\n\n\nc\nc\n \nc", "fr"), (105, "#$% " * 80, "en"), (106, say(4000), "xx"), (None, say(60), "en"), (5, rows[5][1], "en"), (107, "a b c d e f a b c d e f g a b c d e", None), (108, "é ü #\r\n" * 20, "de")]
+    rows += [(100, None, "en"), (101, "", None), (102, "a b c d e a b c d e", "en"), (103, "x " * 300, "EN"), (104, " a\x85b c\x1cd\n\n\nc\nc\n \nc", "fr"), (105, "#$% " * 80, "en"), (109, " | ".join(say(120).split()), "en"), (110, " <b> ".join(say(120).split()), "en"), (106, say(4000), "xx"), (None, say(60), "en"), (5, rows[5][1], "en"), (107, "a b c d e f a b c d e f g a b c d e", None), (108, "é ü #\r\n" * 20, "de")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, lang string, words string")
     got = Q.judge(df).collect()
     assert len(got) == len(rows)
@@ -61,8 +61,13 @@ def test_against_brute_force(spark):
         out = [words.count(c) for c in lists(lang)]
         return out + [0] * (most - len(out)) + [base(text)[0] - sum(out)]
 
+    fails = lambda t: base(t)[0] < 10 or 100 * base(t)[-1] > 20 * base(t)[0]
+    passing = Counter((lang or "").lower() for _, text, lang in rows if not fails(text))
+    assert passing["en"] >= Q.LEAST_DOCUMENTS > passing["fr"]
     for _, text, lang in rows:
-        c, w = ref.setdefault((lang or "").lower(), ([0] * 7, [0] * (most + 1)))
+        c, w = ref.setdefault((lang or "").lower(), ([0] * 9, [0] * (most + 1)))
+        if fails(text) or passing[(lang or "").lower()] < Q.LEAST_DOCUMENTS:
+            continue
         for k, x in enumerate(chars(text)):
             c[k] += x
         for k, x in enumerate(hist(text, lang)):
