@@ -9,16 +9,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .bytesets import blocks
-from .durable import durable
+from .durable import columns_like, durable
 
 UNKNOWN = "und"
-#: Texts sampled per language to learn from, and characters taken of each: the bound of the training sample.
-SAMPLE_TEXTS, SAMPLE_CHARS = 32, 1024
+#: The bound of the training sample: whole texts per language, and characters that they may have together.
+SAMPLE_TEXTS, SAMPLE_CHARS = 32, 32_768
+#: Texts of so many characters teach best: long enough to hold much, short enough to take many.
+SAMPLE_LENGTHS = (200, 4_096)
 #: Languages that a model may hold; more labels than this are an error, not cut.
 MAX_LANGUAGES = 200
-#: A text is parsed in stretches of so many symbols; a phrase ends at a stretch's end.
+#: A text is parsed in stretches of so many symbols side by side, then again where a phrase crosses their border.
 STRETCH = 1024
 #: Byte classes: letters a-z, one class for every other ASCII byte, and each byte of longer UTF-8 sequences.
 _CLASS = np.zeros(256, np.uint8)
@@ -112,7 +115,14 @@ class Model:
         return self._tables
 
     def entropy(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits a symbol of each row under each language: phrases times log2 of the language's text, by length."""
+        """Bits a symbol of each row under each language: phrases times log2 of the language's text, by length.
+
+        Every stretch of a text is first parsed as if a phrase began there.
+        Then those stretches whose predecessor ends inside a phrase are parsed
+        again from that state, until no state changes; as parses of the same
+        symbols soon agree, that is rarely more than once. The count is that
+        of one parse of the whole text.
+        """
         names, squeeze, table, firsts, _ = self.tables()
         classes, offsets = symbols(data, offsets)
         codes = squeeze[classes].astype(np.int64)
@@ -121,19 +131,37 @@ class Model:
         row = np.repeat(np.arange(len(lengths)), per)
         begin = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * STRETCH
         size = np.minimum(offsets[row + 1] - begin, STRETCH)
-        order = np.argsort(-size, kind="stable")
-        row, begin, size = row[order], begin[order], size[order]
         n, k = len(row), len(names)
-        state = np.repeat(firsts[None, :], n, axis=0)
-        cuts = np.zeros((n, k), np.int64)
-        live = n
-        for t in range(int(size[0]) if n else 0):
-            while size[live - 1] <= t:
-                live -= 1
-            step = table[state[:live] + codes[begin[:live] + t][:, None]]
-            cuts[:live] += step & 3
-            state[:live] = step >> 2
-        cuts += state != firsts[None, :]
+
+        def parse(begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(phrases that end, last state) of stretches from given states, a row for each or a row by language."""
+            order = np.argsort(-size, kind="stable")
+            begin, size, state = begin[order], size[order], state[order]
+            cuts, live = np.zeros(state.shape, np.int64), len(begin)
+            for t in range(int(size[0]) if live else 0):
+                while size[live - 1] <= t:
+                    live -= 1
+                at = codes[begin[:live] + t]
+                step = table[state[:live] + (at[:, None] if state.ndim > 1 else at)]
+                cuts[:live] += step & 3
+                state[:live] = step >> 2
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            return cuts[back], state[back]
+
+        start = np.repeat(firsts[None, :], n, axis=0)
+        cuts, end = parse(begin, size, start)
+        follows = np.flatnonzero(row[1:] == row[:-1]) + 1  # stretches with one of the same text before them
+        while True:
+            at, lang = np.nonzero(end[follows - 1] != start[follows])
+            if not at.size:
+                break
+            at = follows[at]
+            start[at, lang] = end[at - 1, lang]
+            cuts[at, lang], end[at, lang] = parse(begin[at], size[at], start[at, lang])
+        last = np.ones(n, bool)
+        last[follows - 1] = False
+        cuts += (end != firsts[None, :]) & last[:, None]
         phrases = np.zeros((len(lengths), k), np.int64)
         np.add.at(phrases, row, cuts)
         scale = np.array([math.log2(max(2, len(self.texts[x].encode()))) for x in names])
@@ -160,22 +188,32 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learn from a bounded sample: ``sample_texts`` distinct texts per language, by the least hash, ``sample_chars`` of each.
-
-    Rows with a null or empty text or a null language teach nothing. The
-    sample does not depend on the order of rows or on how often a text repeats.
+    """Learn from a bounded sample of rows: at most ``sample_texts`` distinct whole texts per language.
+
+    Texts within SAMPLE_LENGTHS come first, by the least hash, then others, the
+    shortest first; texts are taken while they have ``sample_chars`` characters
+    together at most. Rows with a null or empty text or a null language teach
+    nothing, nor does a language of which every text is longer than
+    ``sample_chars``. The sample does not depend on the order of rows or on how
+    often a text repeats.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and length(text) > 0").withColumn("h", F.xxhash64("text"))
-    hashes = durable(rows.select("lang", "h").distinct(), "language-hashes")
-    names = [r["lang"] for r in hashes.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
+    low, high = SAMPLE_LENGTHS
+    size = F.length("text")
+    hashes = durable(rows.where(size <= sample_chars).select("lang", "h", size.alias("n")).distinct(), "language-hashes")
+    names = hashes.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if names > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    chosen = [(n, r["h"]) for n in names for r in hashes.where(F.col("lang") == n).orderBy("h").limit(sample_texts).collect()]
-    picked = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(chosen, "lang string, h long")), ["lang", "h"])
-    slices = picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("slice")).collect()  # at most MAX_LANGUAGES * sample_texts rows
+    # ranks beyond the limit are dropped in each task before the shuffle, so no language is gathered
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.when(F.col("n").between(low, high), 0).otherwise(F.col("n")), "h"))
+    ranked = hashes.withColumn("place", place).where(F.col("place") <= sample_texts)
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("place"))
+    chosen = ranked.withColumn("upto", before).where(F.col("upto") <= sample_chars).select("lang", "h")  # at most MAX_LANGUAGES * sample_texts rows
+    picked = rows.join(F.broadcast(chosen), ["lang", "h"])
+    samples = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(slices, key=lambda r: (r["lang"], r["h"])):
-        texts.setdefault(r["lang"], []).append(r["slice"])
+    for r in sorted(samples, key=lambda r: (r["lang"], r["h"])):
+        texts.setdefault(r["lang"], []).append(r["text"])
     return Model({k: "\n".join(v) for k, v in texts.items()})
 
 
@@ -185,7 +223,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[Colum
     Whole texts are parsed. The language is ``und`` (score 0) where the text is
     null or has no letter, or where the model knows no language.
     """
-    source = docs.select(*keep, F.col(text).cast("string").alias("text_"))
+    kept = docs.select(*keep)
+    source = docs.select(*keep, F.col(text).cast("string").alias(*columns_like(kept, "text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1].fields)
 

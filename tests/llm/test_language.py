@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexweave.llm import language as L
@@ -41,10 +42,13 @@ def phrases(train, x):
     return n
 
 
-def test_phrase_counts_against_brute_force():
+@pytest.mark.parametrize("stretch", [7, 100, 1024])
+def test_phrase_counts_against_brute_force(monkeypatch, stretch):
+    """One parse of the whole text, whatever the stretches that are parsed side by side."""
+    monkeypatch.setattr(L, "STRETCH", stretch)
     rng = random.Random(2)
     model = L.Model({k: text(rng, k, 40) for k in WORDS})
-    texts = [text(rng, rng.choice(list(WORDS)), rng.randrange(1, 60)) for _ in range(20)] + ["", "123", "日本語 です", text(rng, "en", 900)]
+    texts = [text(rng, rng.choice(list(WORDS)), rng.randrange(1, 60)) for _ in range(20)] + ["", "123", "日本語 です", text(rng, "en", 900), model.texts["fr"] * 3, "de de " * 500]
     names = model.tables()[0]
     sym = lambda t: "".join(map(chr, L.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]))
     for _, data, offsets in L.blocks(pa.array(texts)):
@@ -52,7 +56,7 @@ def test_phrase_counts_against_brute_force():
         for i, t in enumerate(texts):
             s = sym(t)
             for j, n in enumerate(names):
-                want = sum(phrases(sym(model.texts[n]), s[a : a + L.STRETCH]) for a in range(0, len(s), L.STRETCH))
+                want = phrases(sym(model.texts[n]), s)
                 got = bits[i, j] * max(1, len(s)) / np.log2(len(model.texts[n].encode()))
                 assert round(got) == want
 
