@@ -1,12 +1,38 @@
 import random
 import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from lexweave.llm import ranking, shards
+from lexweave.llm.durable import durable
+
+
+def one_by_one(sizes, n_shards):
+    """Brute force: groups by falling size, each to the least-loaded shard."""
+    loads = [0] * n_shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
 
 
-def test_longest_first_by_hand():
-    plan = shards.longest_first([(7, "a"), (6, "b"), (5, "c"), (4, "d"), (3, "e")], 2)
-    assert plan == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
+def test_longest_first_against_brute_force():
+    rng = random.Random(7)
+    for trial in range(300):
+        n_shards = rng.randrange(1, 9)
+        sizes = [rng.choice([1, 2, 3, 7, 50, 51, 400, rng.randrange(1, 1000)]) for _ in range(rng.randrange(0, 120))]
+        if trial % 3 == 0:
+            sizes += [rng.randrange(1, 30)] * rng.randrange(0, 500)
+        if trial % 5 == 0:
+            sizes.append(20_000)
+        plan = shards.longest_first(list(Counter(sizes).items()), n_shards)
+        loads, taken = [0] * n_shards, {}
+        for size, first, n, shard in plan:
+            assert first == taken.get(size, 0)
+            taken[size] = first + n
+            loads[shard] += size * n
+        assert taken == Counter(sizes)
+        assert loads == one_by_one(sizes, n_shards)
 
 
 def check(rows, got, n_shards):
@@ -40,11 +66,25 @@ def test_documents(spark, monkeypatch):
     check(rows, few, 3)
 
 
-def test_bundles_balance(spark):
-    df = spark.range(3000).selectExpr("cast(id as string) g", "id % 50 + 1 size")
-    got = shards.assign_shards(df, "g", "size", 4, heavy=10, bundles=64)
-    loads = [r["sum(size)"] for r in got.groupBy("shard").sum("size").collect()]
-    assert len(loads) == 4 and max(loads) - min(loads) <= 3000
+def test_groups_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(None if g == 3 else f"g{g}", rng.randrange(1, 60)) for g in (rng.choice([0, 1, 2, 3, rng.randrange(400)]) for _ in range(2000))]
+    df = spark.createDataFrame(rows, "rank string, bytes int").repartition(5)
+    got = shards.assign_shards(df, "rank", "bytes", 4)
+    assert got.columns == ["rank", "bytes", "shard"] and got.count() == len(rows)
+    groups = Counter()
+    for g, n in rows:
+        groups[g] += n
+    loads = {r["shard"]: r["n"] for r in got.groupBy("shard").agg(F.sum("bytes").alias("n")).collect()}
+    assert [loads.get(k, 0) for k in range(4)] == one_by_one(groups.values(), 4)
+    assert got.groupBy("rank").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_equal_rows_are_not_one_window(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RUN_ROWS", 10)
+    df = durable(spark.range(400).selectExpr("1 v", "'same' t"), "equal-rows")
+    got = ranking.number_rows(df, "v", [F.col("t")], F.xxhash64("t"), "k")
+    assert sorted(r.k for r in got.collect()) == list(range(400))
 
 
 def test_hot_group_and_empty(spark):
