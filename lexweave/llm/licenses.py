@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytesets import blocks
 from .decontaminate import _SOLID, SeedSet, word_hashes
-from .durable import durable
+from .durable import columns_like, durable
 
 #: Phrases by licence (fixed values): the usual header lines and the first words of licence files.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -162,9 +162,10 @@ def detect(files: DataFrame, keys: list[Column], text: str = "text", least: floa
     """
     spark = files.sparkSession
     templates = build_templates(texts)
-    clean = F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_")
+    kept = files.select(*keys)
+    clean = F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(*columns_like(kept, "text"))
     source = files.select(*keys, clean)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1].fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = SeedSet(templates.vocabulary)
@@ -178,7 +179,7 @@ def detect(files: DataFrame, keys: list[Column], text: str = "text", least: floa
                 held += np.bincount(np.unique(row * len(held) + which) % len(held), minlength=len(held))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(held))]), pa.array([n, *held.tolist()])], names=["word", "n"])
 
-    totals = {r["word"]: r["n"] for r in source.select("text_").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # the templates' words
+    totals = {r["word"]: r["n"] for r in source.select(source.columns[-1]).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # the templates' words
     n_docs = totals.get(-1, 0)
     idf = idf_of(np.array([totals.get(k, 0) for k in range(len(templates.vocabulary))], float), n_docs)
     shared = spark.sparkContext.broadcast((templates, templates.vectors(idf), idf, float(idf_of(np.zeros(1), n_docs)[0])))
@@ -215,19 +216,23 @@ def inherit(found: DataFrame, path: str = "path") -> DataFrame:
     in the nearest directory above them (``inherited``); of several there, the
     best score wins, then the least path. Directories are resolved once each,
     by joining their ancestors with directories that have a licence, and files
-    then join their directory.
+    then join their directory. What is joined is stored before, so that a
+    directory of very many files, or one above very many, can be split.
     """
+    here, up, file, given, far, near_ = columns_like(found, "dir", "up", "from", "given", "far", "near")
     place = F.coalesce(F.regexp_replace(F.col(path), "/+", "/"), F.lit(""))
-    rows = found.withColumn("dir__", directory(F.regexp_replace(place, "^/", "")))
+    rows = found.withColumn(here, directory(F.regexp_replace(place, "^/", "")))
     own = rows.where(F.col(path).rlike(LICENCE_FILE) & F.col("licence").isNotNull())
-    best = own.groupBy("dir__").agg(F.min(F.struct(-F.col("score"), F.col(path).alias("p"), F.col("licence").alias("l"))).alias("b")).select(F.col("dir__").alias("up__"), F.col("b.p").alias("from__"), F.col("b.l").alias("given__"))
-    dirs = rows.where("licence is null").select("dir__").distinct()
-    climbs = dirs.select("dir__", F.posexplode(ancestors(F.col("dir__"))).alias("far__", "up__"))
-    near = climbs.join(best, "up__").groupBy("dir__").agg(F.min(F.struct("far__", "from__", "given__")).alias("n__"))
-    joined = rows.join(near, "dir__", "left")
-    taken = F.col("licence").isNull() & F.col("n__").isNotNull()
+    first = F.min(F.struct(-F.col("score"), F.col(path).alias("p"), F.col("licence").alias("l"))).alias("b")
+    best = durable(own.groupBy(here).agg(first).select(F.col(here).alias(up), F.col("b.p").alias(file), F.col("b.l").alias(given)), "licensed-directories")
+    dirs = durable(rows.where("licence is null").select(here).distinct(), "open-directories")
+    climbs = dirs.select(here, F.posexplode(ancestors(F.col(here))).alias(far, up))
+    near = durable(climbs.join(best, up).groupBy(here).agg(F.min(F.struct(far, file, given)).alias(near_)), "nearest-licences")
+    joined = rows.join(near, here, "left")
+    taken = F.col("licence").isNull() & F.col(near_).isNotNull()
     origin = F.when(F.col("licence").isNotNull(), "own").when(taken, "inherited").otherwise("none")
-    return joined.withColumns({"origin": origin, "licence_path": F.when(F.col("licence").isNotNull(), F.col(path)).when(taken, F.col("n__.from__")), "licence": F.when(taken, F.col("n__.given__")).otherwise(F.col("licence"))}).drop("dir__", "n__")
+    source = F.when(F.col("licence").isNotNull(), F.col(path)).when(taken, F.col(near_)[file])
+    return joined.withColumns({"origin": origin, "licence_path": source, "licence": F.when(taken, F.col(near_)[given]).otherwise(F.col("licence"))}).drop(here, near_)
 
 
 def scan_licences(files: DataFrame, path: Column, keys: list[Column], text: str = "text", least: float = LEAST_COSINE) -> DataFrame:

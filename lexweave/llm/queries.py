@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import chat, decontaminate, language, licenses, linededup, packing, quality, shards, simhash, sql, token_files
 from .durable import shared_root
@@ -20,13 +20,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), [docs["doc_id"]])
 
 
+def tree_path(n: Column, source: Column) -> Column:
+    """A tree of files for documents, which have none: source, thousands, tens; every fifth is a licence file at one of the three levels."""
+    thousand, ten = F.floor(n / 1000).cast("string"), F.floor(n / 10).cast("string")
+    deep = F.concat_ws("/", source, thousand, ten, F.concat(n.cast("string"), F.lit(".txt")))
+    return F.when(n % 100 == 0, F.concat_ws("/", source, F.lit("LICENSE"))).when(n % 10 == 0, F.concat_ws("/", source, thousand, F.lit("COPYING"))).when(n % 10 == 5, F.concat_ws("/", source, thousand, ten, F.lit("LICENSE.txt"))).otherwise(deep)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source, thousands, tens; the first of each ten is that directory's licence file."""
     docs = table(spark, sf_dir, "documents")
-    n = F.col("doc_id")
-    name = F.when(n % 10 == 0, "LICENSE").otherwise(F.concat(n.cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", "source", F.floor(n / 1000).cast("string"), F.floor(n / 10).cast("string"), name)
-    return licenses.scan_licences(docs, path, [n])
+    return licenses.scan_licences(docs, tree_path(F.col("doc_id"), F.col("source")), [F.col("doc_id")])
 
 
 def vocabulary() -> str:
@@ -36,16 +39,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-VOCABULARY_SIZE = 50_257
-
-
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/token-files-{uuid.uuid4().hex}"
-    token_files.write_files(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2, vocabulary_size=VOCABULARY_SIZE)
+    token_files.write_files(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2)
     return token_files.read_documents(spark, path)
 
 

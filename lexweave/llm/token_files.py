@@ -18,9 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .tokens import encoder
+from .tokens import encoder, size
 
 MAGIC = b"LXWIDS01"
 HEADER = struct.Struct("<8sIIQQQ")
@@ -36,7 +36,9 @@ def bits_for(vocabulary_size: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
-    """64-bit words with ``bits`` bits per id; the last group of 64 ids is filled up with zeros."""
+    """64-bit words with ``bits`` bits per id; the last group of 64 ids is filled up with zeros. Ids that do not fit are an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     groups = np.zeros((-(-len(ids) // 64), 64), np.uint64)
     groups.reshape(-1)[: len(ids)] = ids
     words = np.zeros((len(groups), bits), np.uint64)
@@ -102,18 +104,25 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_size: int, id_col: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> None:
+_SCHEMA = "part int, seq int, first long, n_ids long, low_id long, high_id long, null_ids int, content binary"
+
+
+def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> None:
     """Write every document's ids and ``end_id``, in ascending id order, as token files below ``path``.
 
-    One range shuffle of the texts gives each task a run of ids (ties of the id
-    go by a hash of the text), which it writes as files of about ``file_ids``
-    ids. Null texts count as empty, null ids come first. Columns: part (rank of
-    the run), seq (file within it), first (ids before it within the run),
-    n_ids, content.
+    An id takes the fewest bits that hold the tokenizer's vocabulary and
+    ``end_id``. One range shuffle of the texts gives each task a run of ids
+    (ties of the id go by a hash of the text, then by place, so that no number
+    of equal rows gathers in one task), which it writes as files of about
+    ``file_ids`` ids. Null texts count as empty, null ids come first. An empty
+    table gives no file. Columns: part (rank of the run), seq (file within it),
+    first (ids before it within the run), n_ids, low_id and high_id (the index
+    by document: of one file in the table's statistics, so that a reader of one
+    document skips the others), null_ids (documents without id), content.
     """
-    bits = bits_for(vocabulary_size)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("id"), F.xxhash64("text")]
+    bits = bits_for(max(size(vocabulary), end_id + 1))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
+    order = [F.col("id"), F.xxhash64("text"), F.col("at")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,33 +132,52 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabu
         end = np.array([end_id], "<u4").tobytes()
         names: list[int | None] = []
         held: list[bytes] = []
-        size = 0
+        n_ids = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, first, names, held, size
+            nonlocal seq, first, names, held, n_ids
             ids = np.frombuffer(b"".join(held), "<u4")
             content = pack_file(names, [len(x) // 4 for x in held], ids, bits)
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": [first], "n_ids": [size], "content": pa.array([content], pa.binary())})
-            seq, first, names, held, size = seq + 1, first + size, [], [], 0
+            known = [x for x in names if x is not None] or [None]
+            row = {"part": [part], "seq": [seq], "first": [first], "n_ids": [n_ids], "low_id": [known[0]], "high_id": [known[-1]], "null_ids": [names.count(None)], "content": [content]}
+            kinds = {"part": pa.int32(), "seq": pa.int32(), "null_ids": pa.int32(), "content": pa.binary()}
+            out = pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in row.items()})
+            seq, first, names, held, n_ids = seq + 1, first + n_ids, [], [], 0
             return out
 
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1)):
                 names.append(i.as_py())
                 held.append(encode(t.as_py()) + end)
-                size += len(held[-1]) // 4
-                if size >= file_ids:
+                n_ids += len(held[-1]) // 4
+                if n_ids >= file_ids:
                     yield close()
         if held:
             yield close()
 
-    rows = source.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(run, "part int, seq int, first long, n_ids long, content binary").write.parquet(path)
+    rows = source.repartitionByRange(*order).sortWithinPartitions(*order).drop("at")
+    rows.mapInArrow(run, _SCHEMA).write.parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, doc_id: int | None) -> DataFrame:
+    """(ids array<int>) of the documents of one id; only files whose range holds it are read, and of those only the blocks with its ids."""
+    hit = F.col("null_ids") > 0 if doc_id is None else F.lit(doc_id).between(F.col("low_id"), F.col("high_id"))
+    files = spark.read.schema(_SCHEMA).parquet(path).where(hit).select("content")
+    wanted = NULL_ID if doc_id is None else doc_id
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                file = TokenFile(content.as_py())
+                found = [file.document(int(k)).view(np.int32) for k in np.flatnonzero(file.doc_ids == wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["ids"])
+
+    return files.mapInArrow(run, "ids array<int>")
 
 
-def read_documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
+def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files below ``path``."""
-    files = spark.read.schema("part int, seq int, first long, n_ids long, content binary").parquet(path)
+    files = spark.read.schema(_SCHEMA).parquet(path)
     before, total = {}, 0
     for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row per task of the writer
         before[r["part"]], total = total, total + r["n"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -53,6 +54,15 @@ class _Memo(dict):
         return ids
 
 
+def _cuts_at_spaces(tokenizer) -> bool:
+    """Whether the cuts below hold: byte-level pre-tokenizer with its own pattern, no normalizer, no added token that texts may hold across a space."""
+    kind = json.loads(tokenizer.to_str())
+    pre = kind.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    added = any(" " in t["content"] or t["content"].isalpha() for t in kind.get("added_tokens") or [])
+    return plain and kind.get("normalizer") is None and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and not added
+
+
 class ChunkEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
@@ -60,13 +70,15 @@ class ChunkEncoder:
     stands alone between two solid characters, and joins the space to what
     follows. So a text may be cut there, and the ids of a chunk (a word with
     its space and marks) come from the library once and from memory after that.
-    Where a space meets other white space there is no cut.
+    Where a space meets other white space there is no cut. A tokenizer that is
+    not of this kind is asked for every text as a whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        self._whole = None if _cuts_at_spaces(tokenizer) else tokenizer
         self._first, self._spaced = (_Memo(tokenizer, prefix, remembered * share // 4) for prefix, share in (("", 1), (" ", 3)))
         self._spaced.bare = self._first
 
@@ -74,6 +86,8 @@ class ChunkEncoder:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self._whole:
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = text.split(" ")
         if all(pieces) and "\n " not in text and " \n" not in text and text.replace("\n", "").isprintable():
             return self._first[pieces[0]] + b"".join(map(self._spaced.__getitem__, pieces[1:]))
@@ -96,3 +110,11 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
+
+
+def size(path: str) -> int:
+    """Ids that the vocabulary file at ``path`` has, added tokens among them."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return 1 + max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0)

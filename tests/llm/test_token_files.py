@@ -21,6 +21,11 @@ def test_bits_round_trip(bits):
         assert np.array_equal(tf.unpack(words, bits, n), ids)
 
 
+def test_ids_beyond_the_width():
+    with pytest.raises(ValueError):
+        tf.pack(np.array([70_000], np.uint32), 16)
+
+
 def test_width():
     assert [tf.bits_for(n) for n in (1, 2, 3, 50_257, 65_536, 65_537)] == [1, 1, 2, 16, 16, 17]
 
@@ -48,7 +53,7 @@ def test_documents(spark, tmp_path):
     rows += [(-5, "below"), (200, None), (201, ""), (None, "lost"), (7, "tie"), (7, "tie")]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, part int").repartition(5)
-    tf.write_files(df, f"file://{tmp_path}/t", PATH, 2, 50_257, file_ids=100)
+    tf.write_files(df, f"file://{tmp_path}/t", PATH, 2, file_ids=100)
     got = sorted(tf.read_documents(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
     ids = {(i, k): [*whole.encode(t or "", add_special_tokens=False).ids, 2] for k, (i, t) in enumerate(rows)}
     want = sorted((i is not None, i or 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in ids.items())
@@ -58,5 +63,18 @@ def test_documents(spark, tmp_path):
     for r in got:
         assert r.start == at
         at += r.n_tokens
-    tf.write_files(df.where("doc_id > 1000"), f"file://{tmp_path}/e", PATH, 2, 50_257)
+    for i in (7, 33, None, 200, 5000):
+        own = sorted(x for (d, _), x in ids.items() if d == i)
+        assert sorted(r.ids for r in tf.lookup(spark, f"file://{tmp_path}/t", i).collect()) == own
+    tf.write_files(df.where("doc_id > 1000"), f"file://{tmp_path}/e", PATH, 2)
     assert tf.read_documents(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_equal_rows_are_dealt_over_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(4000, numPartitions=8).selectExpr("5L doc_id", "'same words here' text")
+    tf.write_files(df, f"file://{tmp_path}/t", PATH, 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"file://{tmp_path}/t").select("part").distinct().count() > 1
+    got = tf.read_documents(spark, f"file://{tmp_path}/t").collect()
+    assert sorted(r.start for r in got) == [r.n_tokens * k for k, r in enumerate(got)]
