@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytesets import IS_SPACE, LOWER, RangeHash, U, blocks, words
-from .durable import durable
+from .durable import columns_like, durable
 
 #: Words that a fingerprinted run of lines has at least.
 RUN_WORDS = 12
@@ -105,7 +105,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WOR
     return starts, count, hashes, first, at, run_end[at] - at + 1, run_hash[at]
 
 
-_LISTS = "sizes array<int>, words array<int>, hashes array<int>, at array<int>, lines array<int>, lo array<int>, hi array<int>, print array<long>"
+_LISTS = "sizes array<int>, words array<int>, hashes array<long>, at array<int>, lines array<int>, lo array<int>, hi array<int>, print array<long>"
 
 
 def _scan(run_words: int, sure_words: int):
@@ -134,7 +134,7 @@ def _scan(run_words: int, sure_words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(base, n), batch.column(1).slice(base, n),
-                        by_line(sizes, i32), by_line(count, i32), by_line((hashes >> U(32)).astype(np.uint32).view(np.int32), i32),
+                        by_line(sizes, i32), by_line(count, i32), by_line(hashes.view(np.int64), i64),
                         by_print(at - head if len(at) else at, i32), by_print(size, i32), by_print(lo, i32), by_print(hi, i32), by_print(prints.view(np.int64), i64),
                     ],
                     names=["id", "th", "sizes", "words", "hashes", "at", "lines", "lo", "hi", "print"],
@@ -183,6 +183,8 @@ def _extend(kind: str, least_words: int):
                     at, src = places[m], source_at[m]
                     theirs, shift = all_theirs[theirs_cut[m] : theirs_cut[m + 1]], src - theirs_from[m] - at  # line t is theirs[t + shift]
                     a, b = at, at + sizes_of[m] - 1
+                    if shapes[m] and hashes[a : b + 1] != theirs[a + shift : b + 1 + shift]:
+                        continue  # unlike runs with one hash
                     while a > 0 and a - 1 + shift >= 0 and hashes[a - 1] == theirs[a - 1 + shift]:
                         a -= 1
                     while b + 1 < n and shapes[m] and b + 1 + shift < len(theirs) and hashes[b + 1] == theirs[b + 1 + shift]:
@@ -212,27 +214,38 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
     """(id, th, runs) of each document with lines that an earlier place holds too.
 
     Places are ordered by id, then a hash of the text, then line. Every
-    fingerprint is joined with its first place; from there the match goes on
-    line by line both ways, by 32 bits of each line's hash (the fingerprints
-    themselves have 64). A run is (first_line, n_lines, start, stop, n_words,
-    source_id, source_line); start and stop count characters, and stop is null
-    at the end of the text. Every deleted line stays in an earlier place. Rows
-    of equal id and text are one document. Runs of fewer than ``least_words``
-    words are never touched.
+    fingerprint is joined with its first place, and if the line before or
+    behind it differs there, with the first place of the fingerprint and that
+    line together: so a longer stretch is found even where an older document
+    has its fingerprints alone. From there the match goes on line by line both
+    ways, by 64 bits of each line's hash. A run is (first_line, n_lines, start,
+    stop, n_words, source_id, source_line); start and stop count characters,
+    and stop is null at the end of the text. Every deleted line stays in an
+    earlier place. Rows of equal id and text are one document. Runs of fewer
+    than ``least_words`` words are never touched.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), text_hash(text).alias("th"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scan = durable(source.mapInArrow(_scan(run_words, sure_words), f"id {kind}, th long, {_LISTS}").where("size(print) > 0"), "lines")
-    marks = scan.select("id", "th", F.inline(F.arrays_zip("print", "at", "lines", "lo", "hi")))
+    before, behind = F.get("hashes", F.col("at") - 1).alias("before"), F.get("hashes", F.col("at") + F.col("lines")).alias("behind")
+    marks = scan.select("id", "th", "hashes", F.inline(F.arrays_zip("print", "at", "lines", "lo", "hi"))).select("id", "th", "print", "at", "lines", "lo", "hi", before, behind)
     # only the hashes are counted at first; places are compared of those that occur twice
     twice = durable(marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "repeated-prints")
     # tables are stored before a join, so that it has a shuffle on either side and adaptive execution can split a frequent fingerprint
     shared = durable(marks.join(twice, "print"), "repeated-marks")
-    first = durable(shared.groupBy("print").agg(F.min(F.struct("id", "th", "at", "lines")).alias("f")), "first-places")
-    joined = shared.join(first, "print").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))))
+    first = durable(shared.groupBy("print").agg(F.min(F.struct("id", "th", "at", "lines", "before", "behind")).alias("f")), "first-places")
+    place = [F.col(f"f.{c}").alias(f"f_{c}") for c in ("id", "th", "at", "lines")]
+    another = ~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at")))
+    odd = [F.when(~F.col(c).eqNullSafe(F.col(f"f.{c}")), F.col(c)).alias(c) for c in ("before", "behind")]
+    mark = ["id", "th", "at", "lines", "lo", "hi"]
+    joined = durable(shared.join(first, "print").where(another).select("print", *mark, *place, *odd), "first-matches")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("line")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("line")))).alias("x")
+    beside = durable(joined.where("before is not null or behind is not null").select("print", *mark, sides).where("x.line is not null").select("print", "x.side", "x.line", *mark), "odd-marks")
+    again = durable(beside.groupBy("print", "side", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at", "lines")).alias("f")).where("n > 1").drop("n"), "first-places-beside")
+    more = durable(beside.join(again, ["print", "side", "line"]).where(another).select(*mark, *place).distinct(), "further-matches")
     back, on = F.col("at") - F.col("lo"), F.col("hi") - F.col("at")
-    match = [F.col("f.id").alias("source_id"), F.col("f.at").alias("source_at"), (F.col("lines") == F.col("f.lines")).alias("same_shape"), F.greatest(F.col("f.at") - back, F.lit(0)).alias("theirs_from"), (F.col("f.at") + on).alias("theirs_to")]
-    pairs = durable(joined.select("id", "th", "at", "lines", *match, F.xxhash64("f.id").alias("key"), F.col("f.th").alias("key_th")), "line-matches")
+    match = [F.col("f_id").alias("source_id"), F.col("f_at").alias("source_at"), (F.col("lines") == F.col("f_lines")).alias("same_shape"), F.greatest(F.col("f_at") - back, F.lit(0)).alias("theirs_from"), (F.col("f_at") + on).alias("theirs_to")]
+    pairs = joined.drop("print", "before", "behind").unionByName(more).select("id", "th", "at", "lines", *match, F.xxhash64("f_id").alias("key"), F.col("f_th").alias("key_th"))
     # documents are joined by hashes of id and text, neither null: one shuffle serves the distinct rows and the join
     known = scan.select(F.xxhash64("id").alias("key"), F.col("th").alias("key_th"), "sizes", "words", "hashes").dropDuplicates(["key", "key_th"])
     sources = durable(known.select("key", "key_th", "hashes").join(pairs.select("key", "key_th").distinct(), ["key", "key_th"]), "line-sources")
@@ -255,16 +268,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``; documents of which nothing is left go.
 
-    Documents that had no text before are kept as they are.
+    Documents that had no text before are kept as they are. Rows of equal id
+    and text are cut alike. All columns stay, whatever their names; an empty
+    table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    runs = repeated_runs(docs, id_col, text).select(F.col("id").alias("id__"), F.col("th").alias("th__"), F.col("runs").alias("runs__"))
-    joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col("id__")) & (text_hash(text) == F.col("th__")), "left").drop("id__", "th__")
+    key, mark, cuts, rest = columns_like(docs, "id", "th", "runs", "kept")
+    runs = durable(repeated_runs(docs, id_col, text).select(F.col("id").alias(key), F.col("th").alias(mark), F.col("runs").alias(cuts)), "repeated-runs")
+    joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col(key)) & (text_hash(text) == F.col(mark)), "left").drop(key, mark)
     body = F.col(text)
     # what lies between the runs: from the end of one (or 0) to the start of the next (or the end of the text)
-    begins = F.concat(F.array(F.lit(0)), F.transform("runs__", lambda r: r["stop"]))
-    stops = F.concat(F.transform("runs__", lambda r: r["start"]), F.array(F.length(body)))
+    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda r: r["stop"]))
+    stops = F.concat(F.transform(cuts, lambda r: r["start"]), F.array(F.length(body)))
     kept = F.array_join(F.transform(F.arrays_zip(begins.alias("b"), stops.alias("e")), lambda x: F.when(x["b"].isNull(), F.lit("")).otherwise(F.substring(body, x["b"] + 1, x["e"] - x["b"]))), "")
-    new = joined.withColumn("kept__", F.when(F.col("runs__").isNotNull(), kept))
-    left = new.where(F.col("runs__").isNull() | F.col("kept__").rlike(r"\S"))
-    return left.withColumn(text, F.coalesce("kept__", text)).drop("runs__", "kept__").select(docs.columns)
+    new = joined.withColumn(rest, F.when(F.col(cuts).isNotNull(), kept))
+    left = new.where(F.col(cuts).isNull() | F.col(rest).rlike(r"\S"))
+    return left.withColumn(text, F.coalesce(rest, text)).drop(cuts, rest).select(docs.columns)
