@@ -13,10 +13,17 @@ _roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """This application's folder below ``spark.checkpoint.dir``; a temporary one where that is unset in local mode (tests).
+
+    On a cluster without that setting this is an error: executors would each
+    write to a disk of their own.
+    """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lexweave-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = base or f"file://{tempfile.mkdtemp(prefix='lexweave-')}"
         _roots[app] = f"{base.rstrip('/')}/lexweave-{app}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
