@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bytesets import RangeHash, U, blocks, mix
+from .bytesets import RangeHash, U, blocks, frugal, mix
 from .durable import columns_like, durable
 
 #: Words of the longest seeds; shorter ones, down to one word, are seeds too.
@@ -262,7 +262,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text:
             # the row without a seed counts the documents
             yield pa.RecordBatch.from_arrays([pa.array([None, *seeds.value[some].view(np.int64).tolist()], pa.int64()), pa.array([n_rows, *held[some].tolist()], pa.int64())], names=["seed", "n"])
 
-        counts = durable(source.select(source.columns[-1]).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seed-counts")
+        counts = durable(source.select(source.columns[-1]).mapInArrow(frugal(count), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seed-counts")
         n_docs = (counts.where("seed is null").first() or [None, 0])[1]
         # at most the block's seeds, of which few are common
         common = counts.where("seed is not null").where(F.col("n") > max(RARE_LEAST, n_docs * RARE_SHARE)).select("seed").toArrow().column(0).to_numpy().view(U)
@@ -279,7 +279,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text:
                 ids = items.ids.take(pa.array([x[1] for x in out], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), ids, pa.array([x[2] for x in out], pa.float64())], names=[*batch.schema.names[:-1], *names])
 
-        found.append(source.mapInArrow(align, f"{schema}, `{names[0]}` {kind}, `{names[1]}` double"))
+        found.append(source.mapInArrow(frugal(align), f"{schema}, `{names[0]}` {kind}, `{names[1]}` double"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

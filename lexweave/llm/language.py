@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .bytesets import blocks
+from .bytesets import blocks, frugal
 from .durable import columns_like, durable
 
 UNKNOWN = "und"
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[Colum
             langs, scores = shared.value.predict(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names])
 
-    return source.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
+    return source.mapInArrow(frugal(run), f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bytesets import blocks
+from .bytesets import blocks, frugal
 from .decontaminate import _SOLID, SeedSet, word_hashes
 from .durable import columns_like, durable
 
@@ -179,7 +179,7 @@ def detect(files: DataFrame, keys: list[Column], text: str = "text", least: floa
                 held += np.bincount(np.unique(row * len(held) + which) % len(held), minlength=len(held))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(held))]), pa.array([n, *held.tolist()])], names=["word", "n"])
 
-    totals = {r["word"]: r["n"] for r in source.select(source.columns[-1]).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # the templates' words
+    totals = {r["word"]: r["n"] for r in source.select(source.columns[-1]).mapInArrow(frugal(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # the templates' words
     n_docs = totals.get(-1, 0)
     idf = idf_of(np.array([totals.get(k, 0) for k in range(len(templates.vocabulary))], float), n_docs)
     shared = spark.sparkContext.broadcast((templates, templates.vectors(idf), idf, float(idf_of(np.zeros(1), n_docs)[0])))
@@ -195,7 +195,7 @@ def detect(files: DataFrame, keys: list[Column], text: str = "text", least: floa
                     licence[base + r], score[base + r], line[base + r] = templates.licences[t], round(s, 6), w
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(licence, pa.string()), pa.array(score, pa.float64()), pa.array(line, pa.int64())], names=[*batch.schema.names[:-1], "licence", "score", "line"])
 
-    return source.mapInArrow(scan, f"{schema}, licence string, score double, line long")
+    return source.mapInArrow(frugal(scan), f"{schema}, licence string, score double, line long")
 
 
 def directory(path: Column) -> Column:

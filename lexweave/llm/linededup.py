@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bytesets import IS_SPACE, LOWER, RangeHash, U, blocks, words
+from .bytesets import IS_SPACE, LOWER, RangeHash, U, blocks, frugal, words
 from .durable import columns_like, durable
 
 #: Words that a fingerprinted run of lines has at least.
@@ -226,7 +226,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), text_hash(text).alias("th"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    scan = durable(source.mapInArrow(_scan(run_words, sure_words), f"id {kind}, th long, {_LISTS}").where("size(print) > 0"), "lines")
+    scan = durable(source.mapInArrow(frugal(_scan(run_words, sure_words)), f"id {kind}, th long, {_LISTS}").where("size(print) > 0"), "lines")
     before, behind = F.get("hashes", F.col("at") - 1).alias("before"), F.get("hashes", F.col("at") + F.col("lines")).alias("behind")
     marks = scan.select("id", "th", "hashes", F.inline(F.arrays_zip("print", "at", "lines", "lo", "hi"))).select("id", "th", "print", "at", "lines", "lo", "hi", before, behind)
     # only the hashes are counted at first; places are compared of those that occur twice
@@ -253,7 +253,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
     seen = pairs.join(sources, ["key", "key_th"]).select("id", "th", F.struct("at", "lines", "source_id", "source_at", "same_shape", "theirs_from", theirs).alias("m"))
     matches = seen.select(F.xxhash64("id").alias("key"), F.col("th").alias("key_th"), "id", "m").groupBy("key", "key_th").agg(F.first("id").alias("id"), F.collect_set("m").alias("matches"))
     full = matches.join(known, ["key", "key_th"]).select("id", F.col("key_th").alias("th"), "sizes", "words", "hashes", "matches")
-    return full.mapInArrow(_extend(kind, least_words), f"id {kind}, th long, runs {_RUNS.format(kind=kind)}")
+    return full.mapInArrow(frugal(_extend(kind, least_words)), f"id {kind}, th long, runs {_RUNS.format(kind=kind)}")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bytesets import frugal
 from .durable import columns_like, durable
 from .ranking import number_rows
 
@@ -77,7 +78,7 @@ def assign_shards(rows: DataFrame, group: str, size: str, shards: int = 8) -> Da
                 at = np.where((table[on, 0] == own) & (ends[on] <= rank) & (on > at), on, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table[at, 3].astype(np.int32))], names=[key, "shard"])
 
-    where = durable(ranked.mapInArrow(run, f"{key} {kind}, shard int"), "shard-of-group")
+    where = durable(ranked.mapInArrow(frugal(run), f"{key} {kind}, shard int"), "shard-of-group")
     return named.join(where, key).drop(key)
 
 

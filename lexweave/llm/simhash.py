@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bytesets import LOWER, IS_SPACE, U, blocks, words, xxh64
+from .bytesets import LOWER, IS_SPACE, U, blocks, frugal, words, xxh64
 from .components import connected_components
 from .durable import durable
 
@@ -65,7 +65,7 @@ def with_fingerprint(docs: DataFrame, text: str, id_col: str) -> DataFrame:
             fp = np.concatenate(out) if out else np.zeros(0, U)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), f"id {kind.simpleString()}, fp long")
 
 
 def forest(values: np.ndarray, radius: int = RADIUS, tile: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     other = F.flatten(F.transform(F.sequence(F.lit(-RADIUS), F.lit(RADIUS)), lambda d: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct((F.col("own.pop") + d).alias("pop"), p.alias("part")))))
     pairs = F.when(F.col("parts") > 1, F.transform(other, lambda o: F.xxhash64("band", "key", F.least("own", o), F.greatest("own", o)))).otherwise(F.array(F.xxhash64("band", "key")))
     dealt = cut.join(sizes, ["band", "key"]).select("fp", "band", "key", parts.alias("parts"), own.alias("own")).select(F.explode(pairs).alias("tile"), "fp")
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_links, "a long, b long")
+    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(frugal(_links), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
