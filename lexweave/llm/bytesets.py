@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 U = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -47,8 +48,20 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np
         at = to
 
 
+#: Rows of an Arrow batch: texts are long, and a batch lies in memory several times over, on either side.
+ARROW_ROWS = 1000
+
+
 def frugal(run):
-    """``run``, a function for mapInArrow, that gives the memory it no longer needs back at the end of a task: workers live on."""
+    """``run``, a function for mapInArrow, with bounded memory.
+
+    At the end of a task it gives back what it no longer needs, since workers
+    live on. The session's limit of rows of a batch is lowered to ARROW_ROWS if
+    it is higher, and stays so: Spark reads it when a plan runs.
+    """
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark and not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

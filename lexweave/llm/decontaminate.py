@@ -26,6 +26,8 @@ BLOCK_WORDS = 2_000_000
 _SOLID = np.zeros(256, bool)
 _SOLID[48:58] = _SOLID[97:123] = _SOLID[128:] = True
 _TABLE_BITS = 22
+#: Bytes of text that are looked at together: common seeds stand in many items, so hits are many times the words.
+STRETCH_BYTES = 1 << 17
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +254,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text:
             held, n_rows = np.zeros(len(seeds.value), np.int64), 0
             for batch in batches:
                 n_rows += batch.num_rows
-                for _, data, offsets in blocks(batch.column(0)):
+                for _, data, offsets in blocks(batch.column(0), STRETCH_BYTES):
                     words, first = word_hashes(data, offsets)
                     for size in range(1, SEED_WORDS + 1):
                         _, which, row = _hits(words, first, known, size)
@@ -273,7 +275,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text:
             search = Search(items, common, leak)
             for batch in batches:
                 out: list[tuple[int, int, float]] = []
-                for base, data, offsets in blocks(batch.column(batch.num_columns - 1)):
+                for base, data, offsets in blocks(batch.column(batch.num_columns - 1), STRETCH_BYTES):
                     out += [(base + r, i, score) for r, i, score in search(data, offsets)]
                 at = pa.array([x[0] for x in out], pa.int64())
                 ids = items.ids.take(pa.array([x[1] for x in out], pa.int64()))

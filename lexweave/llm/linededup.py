@@ -155,43 +155,47 @@ def _offsets(column: pa.ListArray) -> list[int]:
     return [0, *accumulate(column.value_lengths().to_pylist())]
 
 
-def _flat(column: pa.ListArray) -> tuple[list, list[int]]:
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
     """(all values, offsets) of a column of lists of numbers."""
-    return column.flatten().to_numpy(zero_copy_only=False).tolist(), _offsets(column)
+    return column.flatten().to_numpy(zero_copy_only=False), _offsets(column)
 
 
 def _extend(kind: str, least_words: int):
     """Each row's matches to runs of lines to delete, of ``least_words`` words or more. A match: place, lines, source id, source place, source lines from, their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a few rows at a time: as Python numbers they take many times their Arrow size
+        # a few rows at a time, as their lists are copied
         for batch in (whole.slice(at, EXTEND_ROWS) for whole in batches for at in range(0, whole.num_rows, EXTEND_ROWS)):
             out = []
             all_sizes, _ = _flat(batch.column(2))
             all_counts, _ = _flat(batch.column(3))
             all_hashes, cut = _flat(batch.column(4))
             fields = dict(zip((f.name for f in batch.schema.field(5).type.value_type), batch.column(5).flatten().flatten()))
-            places, sizes_of, ids, source_at, shapes, theirs_from = (fields[k].to_pylist() for k in ("at", "lines", "source_id", "source_at", "same_shape", "theirs_from"))
+            places, sizes_of, source_at, theirs_from = (fields[k].to_numpy().tolist() for k in ("at", "lines", "source_at", "theirs_from"))
+            ids, shapes = fields["source_id"].to_pylist(), fields["same_shape"].to_pylist()
             all_theirs, theirs_cut = _flat(fields["theirs"])
             match_cut = _offsets(batch.column(5))
             for r in range(batch.num_rows):
                 own = slice(cut[r], cut[r + 1])
                 sizes, count, hashes = all_sizes[own], all_counts[own], all_hashes[own]
-                n, starts = len(hashes), [0, *accumulate(sizes[:-1])]
-                source: list[tuple | None] = [None] * n
+                n, starts = len(hashes), (np.cumsum(sizes) - sizes).tolist()
+                by = np.full(n, -1)  # the match that each line belongs to
                 for m in sorted(range(match_cut[r], match_cut[r + 1]), key=lambda m: (places[m], source_at[m])):
-                    at, src = places[m], source_at[m]
-                    theirs, shift = all_theirs[theirs_cut[m] : theirs_cut[m + 1]], src - theirs_from[m] - at  # line t is theirs[t + shift]
-                    a, b = at, at + sizes_of[m] - 1
-                    if shapes[m] and hashes[a : b + 1] != theirs[a + shift : b + 1 + shift]:
+                    at, last = places[m], places[m] + sizes_of[m] - 1
+                    theirs, shift = all_theirs[theirs_cut[m] : theirs_cut[m + 1]], source_at[m] - theirs_from[m] - at  # line t is theirs[t + shift]
+                    if shapes[m] and not np.array_equal(hashes[at : last + 1], theirs[at + shift : last + 1 + shift]):
                         continue  # unlike runs with one hash
-                    while a > 0 and a - 1 + shift >= 0 and hashes[a - 1] == theirs[a - 1 + shift]:
-                        a -= 1
-                    while b + 1 < n and shapes[m] and b + 1 + shift < len(theirs) and hashes[b + 1] == theirs[b + 1 + shift]:
-                        b += 1
-                    for t in range(a, b + 1):
-                        if source[t] is None:
-                            source[t] = (ids[m], src + t - at)
+                    back = min(at, at + shift)
+                    odd = np.flatnonzero(hashes[at - back : at] != theirs[at + shift - back : at + shift])
+                    a, b = at - back + (int(odd[-1]) + 1 if odd.size else 0), last
+                    if shapes[m]:
+                        on = max(0, min(n - 1 - last, len(theirs) - 1 - last - shift))
+                        odd = np.flatnonzero(hashes[last + 1 : last + 1 + on] != theirs[last + 1 + shift : last + 1 + shift + on])
+                        b = last + (int(odd[0]) if odd.size else on)
+                    free = by[a : b + 1]
+                    free[free < 0] = m
+                source = [None if m < 0 else (ids[m], source_at[m] + t - places[m]) for t, m in enumerate(by.tolist())]
+                count = count.tolist()
                 runs, t = [], 0
                 while t < n:
                     if source[t] is None:
