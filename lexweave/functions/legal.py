@@ -81,6 +81,11 @@ def _aliases(n: Column, abbreviations: Column) -> Column:
     return F.when(n == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(forms, bare, short)))
 
 
+def sql_number_aliases(number: Column, legal_type: Column) -> Column:
+    """The aliases, those in upper case too, in order: what a store that compares as it stands is asked for."""
+    return let(number_aliases(number, legal_type), lambda a: F.array_sort(F.array_distinct(F.concat(a, F.transform(a, F.upper)))))
+
+
 def references(folded: Column) -> Column:
     """References in folded text: array of struct(begin, end, raw, number, hint), by place; a typed one wins its span."""
     kind = "struct<begin:int,untyped:int,length:int,end:int,raw:string,number:string,hint:string>"
@@ -197,12 +202,31 @@ def offers_government_portal(issuer: Column, legal_type: Column, number: Column)
     return (issuer_scope(issuer) == "central") | (ascii_fold(legal_type).isin("nghi dinh", "chi thi", "quyet dinh", "nghi quyet") & (n.contains("ttg") | n.contains("cp")))
 
 
+#: What readers are told of a family and a scope (fixed values): label, headline; label.
+FAMILIES = {
+    "normative": ("Normative act", "Strong official lookup routes available"),
+    "administrative": ("Administrative / guidance record", "Official search routes available"),
+    "general": ("General legal record", "Official search fallbacks available"),
+}
+SCOPES = {"central": "Central issuer", "local": "Local issuer", "unknown": "Issuer scope unknown"}
+
+
+def _told(c: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c)
+
+
 def provenance(number: Column, title: Column, legal_type: Column, issuer: Column) -> Column:
-    """Family, scope and search addresses of a document's official sources."""
+    """Family and scope with their labels, a headline, how sure each official source is, and its search address."""
     q = F.url_encode(query_value(number, title))
+    family, scope = document_family(legal_type), issuer_scope(issuer)
     return F.struct(
-        document_family(legal_type).alias("family"),
-        issuer_scope(issuer).alias("scope"),
+        family.alias("family"),
+        scope.alias("scope"),
+        _told(family, {k: v[0] for k, v in FAMILIES.items()}).alias("family_label"),
+        _told(family, {k: v[1] for k, v in FAMILIES.items()}).alias("headline"),
+        _told(scope, SCOPES).alias("scope_label"),
+        F.when(family == "normative", "high").otherwise("medium").alias("vbpl_confidence"),
+        F.when(offers_government_portal(issuer, legal_type, number), F.when(scope == "central", "high").otherwise("medium")).alias("government_confidence"),
         F.concat(F.lit("https://vbpl.vn/pages/vbpq-timkiem.aspx?type=0&s=1&SearchIn=Title,Title1&Keyword="), q).alias("vbpl_url"),
         F.when(offers_government_portal(issuer, legal_type, number), F.concat(F.lit("https://vanban.chinhphu.vn/?pageid=473&q="), q)).alias("government_url"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import html.entities
+import json
 import unicodedata
 from collections.abc import Callable
 
@@ -81,6 +82,12 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_fold(c), F.lit("[0-9a-z]+"), F.lit(0)))
 
 
+def ascii_words(c: Column) -> Column:
+    """Lower-case text without diacritics, of letters, digits, slashes, dots and hyphens, with single spaces."""
+    source, target = _table("NFD", True)
+    return F.lower(strip(F.regexp_replace(F.regexp_replace(F.translate(text_or_empty(c), source, target), r"[^0-9A-Za-z\s/.-]", " "), r"\s+", " ")))
+
+
 def plain_field(c: Column) -> Column:
     """Folded letters and digits with single spaces: the form of labels and rule fields."""
     return F.trim(F.regexp_replace(ascii_fold(c), r"[^0-9a-z]+", " "))
@@ -104,15 +111,43 @@ def normalize_markdown(c: Column) -> Column:
     return strip(out)
 
 
-#: Entities that pages hold; others by the table of the standard library, on request.
-COMMON_ENTITIES = ("quot", "apos", "lt", "gt", "nbsp", "middot", "copy", "reg", "hellip", "ndash", "mdash", "laquo", "raquo", "amp")
+#: A character reference: decimal, hexadecimal, or a name that may lack its semicolon.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: What a browser shows for numbers 128 to 159: Windows code page 1252, or nothing.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+#: Ranges of code points that stand for no character and are left out.
+_NONE = ((0x1, 0x8), (0xB, 0xB), (0xE, 0x1F), (0x7F, 0x9F), (0xFDD0, 0xFDEF))
+
+
+def _entity(name: Column, named: Column) -> Column:
+    """The characters of a reference without its ampersand, or null where it is none."""
+    body = F.regexp_replace(name, ";$", "")
+    code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(body, 3, 32), 16, 10)).otherwise(F.substring(body, 2, 32))
+    # the legal names without a semicolon are the shorter ones; the longest that the name begins with counts
+    begins = [F.when(F.length(name) > n, F.concat(F.try_element_at(named, F.substring(name, 1, n)), F.substring(name, n + 1, 64))) for n in range(6, 1, -1)]
+    return F.when(name.startswith("#"), let(F.coalesce(code.try_cast("decimal(38,0)"), F.lit(-1)), _character)).otherwise(F.coalesce(F.try_element_at(named, name), *begins))
+
 
+def _character(n: Column) -> Column:
+    windows = F.from_json(F.lit(json.dumps({str(k): v for k, v in _WINDOWS.items()})), "map<string,string>")
+    nothing = F.lit(False)
+    for low, high in _NONE:
+        nothing = nothing | n.between(low, high)
+    bad = (n <= 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    point = F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    return F.when(bad, F.lit("\ufffd")).when(n.between(128, 159), F.coalesce(F.try_element_at(windows, n.cast("string")), F.lit(""))).when(nothing | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE), F.lit("")).otherwise(point)
 
-def unescape_entities(c: Column, names: tuple[str, ...] = COMMON_ENTITIES) -> Column:
-    """Named entities as characters; ``amp`` last, so that nothing is undone twice."""
-    for name in [*(n for n in names if n != "amp"), *(n for n in names if n == "amp")]:
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(html.entities.html5[f"{name};"]))
-    return c
+
+def unescape_entities(c: Column) -> Column:
+    """Character references of all standard names and both number forms as characters, in one scan, so that nothing is undone twice."""
+    named = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+
+    def put(x: Column) -> Column:
+        shown = F.transform(x["names"], lambda n: F.coalesce(_entity(n, named), F.concat(F.lit("&"), n)))
+        return F.array_join(F.zip_with(x["gaps"], shown, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
+
+    pieces = F.struct(F.split(c, REFERENCE, -1).alias("gaps"), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1)).alias("names"))
+    return F.when(c.contains("&"), let(pieces, put)).otherwise(c)
 
 
 def normalize_html(c: Column) -> Column:
@@ -170,6 +205,11 @@ def find_all(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Colu
 FIRST_YEAR = 1800
 
 
+def last_sane_year() -> Column:
+    """The last year that a document may have: the next one."""
+    return F.year(F.current_date()) + 1
+
+
 def parsed_date(c: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.trim(text_or_empty(c)), F.lit("d/M/yyyy")))
 

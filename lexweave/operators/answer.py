@@ -6,8 +6,10 @@ import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import squeeze, strip
+from .search import DOCUMENT_WEIGHTS, PAGE_SIZE, Index, focus_query, match, query_prefixes, retrieve_passages
 
 #: Fixed values.
 STOPWORDS = "và của là cho về theo trong được các những một khi để với hay tại đến này đó what which when where that from have about into your will does with this please".split()
@@ -36,3 +38,23 @@ def findings(passages: DataFrame, question: str, place: Column, limit: int = 3)
 def sources(passages: DataFrame, place: Column, limit: int = 4) -> DataFrame:
     """The first distinct documents of the passages."""
     return passages.groupBy("document_id").agg(F.min(place).alias("place")).orderBy("place", "document_id").limit(limit)
+
+
+def ask(pieces: DataFrame, index: Index, docs: DataFrame, document_index: Index, question: str, limit: int = 6, document_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, sources) of a question: the best passages are retrieved, and the sentences in them that answer best are taken out.
+
+    Without ``document_id`` the passages are those of the documents that the
+    question's weightier words find, and each document's rank counts.
+    """
+    if document_id is not None:
+        one = docs.where(F.col("id") == document_id).select(F.col("id").alias("document_id"))
+        ranks = None
+    else:
+        hits = match(document_index, query_prefixes(focus_query(question)), DOCUMENT_WEIGHTS).withColumnRenamed(document_index.key, "document_id")
+        top = hits.orderBy("bm25", "document_id").limit(max(4 * limit, PAGE_SIZE))
+        ranks = top.select("document_id", (F.row_number().over(Window.orderBy("bm25", "document_id")) - 1).alias("position"))  # a page of rows
+        one = ranks.select("document_id")
+    best = retrieve_passages(pieces, index, docs, question, limit, one, ranks)
+    order = Window.orderBy(F.col("score").desc(), "document_id", "ordinal")  # at most ``limit`` rows
+    shown = best.withColumn("place", F.row_number().over(order)).join(pieces.select("document_id", "ordinal", "text"), ["document_id", "ordinal"])
+    return findings(shown.drop("score"), question, F.col("place")), sources(shown, F.col("place"))

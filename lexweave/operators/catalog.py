@@ -43,6 +43,22 @@ def stats(docs: DataFrame, last_year: int) -> DataFrame:
     )
 
 
+def full_stats(docs: DataFrame, last_year: int, marks: DataFrame, subjects: DataFrame, relations: DataFrame, links: DataFrame, views: DataFrame) -> DataFrame:
+    """One row of all corpus figures; ``docs`` has imported_at."""
+    year = sane_year(last_year)
+    out = docs.agg(
+        F.count("*").alias("document_count"), F.countDistinct(F.when(F.coalesce("issuing_authority", F.lit("")) != "", F.col("issuing_authority"))).alias("authority_count"),
+        F.min(year).alias("min_year"), F.max(year).alias("max_year"), F.max("imported_at").alias("last_imported_at"),
+    )
+    for name, rows in (("tracked_count", marks), ("taxonomy_subject_count", subjects), ("relation_count", relations), ("citation_link_count", links), ("research_view_count", views)):
+        out = out.join(rows.agg(F.count("*").alias(name)))  # one row each
+    return out
+
+
+def by_slug(subjects: DataFrame, slug: str) -> DataFrame:
+    return subjects.where(F.col("slug") == slug)
+
+
 def top_types(docs: DataFrame, limit: int = 6) -> DataFrame:
     named = docs.where(F.coalesce("legal_type", F.lit("")) != "")
     return named.groupBy("legal_type").agg(F.count("*").alias("documents")).orderBy(F.col("documents").desc(), "legal_type").limit(limit)

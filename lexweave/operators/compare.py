@@ -161,11 +161,19 @@ def align(pairs: DataFrame, sections: DataFrame, links: DataFrame | None = None,
     return both.groupBy("left_id", "right_id").applyInPandas(run, "left_id long, right_id long, kind string, reason string, left_anchor string, right_anchor string, score double")
 
 
+#: What a reader is told of an instruction (fixed values).
+INSTRUCTIONS = ("amending instruction", "repeal instruction", "guidance instruction", "targeted reference")
+
+
 def counts(alignment: DataFrame) -> DataFrame:
+    """Per pair, how many sections match or stand alone; with a column ``change``, also how many of each change."""
     n = lambda test: F.count(F.when(test, 1))
-    return alignment.groupBy("left_id", "right_id").agg(
-        n(F.col("kind") == "matched").alias("matched"), n(F.col("kind") == "left-only").alias("left_only"), n(F.col("kind") == "right-only").alias("right_only"), n(F.col("reason").isin("explicit-citation", "referenced-article")).alias("explicit")
-    )
+    kinds = [n(F.col("kind") == "matched").alias("matched"), n(F.col("kind") == "left-only").alias("left_only"), n(F.col("kind") == "right-only").alias("right_only"), n(F.col("reason").isin("explicit-citation", "referenced-article")).alias("explicit")]
+    if "change" in alignment.columns:
+        matched = F.col("kind") == "matched"
+        kinds += [n(matched & (F.col("change") == c)).alias(c) for c in ("unchanged", "expanded", "reduced", "rewritten")]
+        kinds.append(n(matched & F.col("change").isin(*INSTRUCTIONS)).alias("instruction"))
+    return alignment.groupBy("left_id", "right_id").agg(*kinds)
 
 
 def reason_label(c: Column) -> Column:
@@ -185,4 +193,68 @@ def describe(rows: DataFrame, lifecycle: bool = False) -> DataFrame:
     still = (c("score") >= 0.97) & (c("changed") == 0) & (c("added") == 0) & (c("removed") == 0)
     more = (c("added") > 0) & (c("removed") == 0) & (c("changed") <= 1)
     less = (c("removed") > 0) & (c("added") == 0) & (c("changed") <= 1)
-    return rows.withColumn("change", F.when(pointed, told).when(still, "unchanged").when(more, "expanded").when(less, "reduced").otherwise("rewritten"))
+    return rows.withColumn("change", F.when(c("reason").isNull(), F.lit(None)).when(pointed, told).when(still, "unchanged").when(more, "expanded").when(less, "reduced").otherwise("rewritten"))
+
+
+def pair_links(pairs: DataFrame, links: DataFrame, mentions: DataFrame, sections: DataFrame) -> DataFrame:
+    """Citations between the documents of each pair, in both directions: (left_id, right_id, direction, section_ordinal, mention_order, anchor, label, link_type, referenced_label, cue_phrase)."""
+    key = ["source_document_id", "section_ordinal", "mention_order"]
+    told = links.select(*key, "target_document_id").join(mentions.select(*key, "link_type", "referenced_label", "cue_phrase"), key)
+    told = told.join(sections.select(F.col("document_id").alias("source_document_id"), F.col("ordinal").alias("section_ordinal"), "anchor", "label"), ["source_document_id", "section_ordinal"])
+    ways = [("left_to_right", "left_id", "right_id"), ("right_to_left", "right_id", "left_id")]
+    each = [pairs.join(told, (F.col(a) == F.col("source_document_id")) & (F.col(b) == F.col("target_document_id"))).select("left_id", "right_id", F.lit(way).alias("direction"), "section_ordinal", "mention_order", "anchor", "label", "link_type", "referenced_label", "cue_phrase") for way, a, b in ways]
+    return each[0].unionByName(each[1])
+
+
+def pair_relations(pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """Relations between the documents of each pair, in both directions: (left_id, right_id, direction, relation_type, evidence_text)."""
+    ways = [("left_to_right", "left_id", "right_id"), ("right_to_left", "right_id", "left_id")]
+    each = [pairs.join(relations, (F.col(a) == F.col("source_document_id")) & (F.col(b) == F.col("target_document_id"))).select("left_id", "right_id", F.lit(way).alias("direction"), "relation_type", "evidence_text") for way, a, b in ways]
+    return each[0].unionByName(each[1])
+
+
+def lifecycle_pairs(cited: DataFrame, related: DataFrame) -> DataFrame:
+    """(left_id, right_id) of the pairs of which one document amends or replaces the other."""
+    strong = lambda df, c: df.where(F.col(c).isin("amends", "replaces")).select("left_id", "right_id")
+    return strong(cited, "link_type").unionByName(strong(related, "relation_type")).distinct()
+
+
+def view(pairs: DataFrame, sections: DataFrame, cited: DataFrame, related: DataFrame) -> DataFrame:
+    """The comparison of each pair: aligned sections with labels, clause counts and the change, and whether the pair is of one lifecycle.
+
+    ``cited`` and ``related`` come from :func:`pair_links` and
+    :func:`pair_relations`. Where one document changes the other, sections are
+    matched by citations alone, not by likeness.
+    """
+    changing = lifecycle_pairs(cited, related).withColumn("lifecycle", F.lit(True))
+    both = pairs.join(changing, ["left_id", "right_id"], "left").withColumn("lifecycle", F.coalesce("lifecycle", F.lit(False)))
+    forth = cited.where("direction = 'left_to_right'").select("left_id", "right_id", "anchor", "referenced_label")
+    each = []
+    for flag in (True, False):
+        some = both.where(F.col("lifecycle") == flag).select("left_id", "right_id")
+        aligned = align(some, sections, forth.join(some, ["left_id", "right_id"], "left_semi"), lifecycle=flag, heuristics=not flag)
+        side = lambda name: sections.select(F.col("document_id").alias(f"{name}_id"), F.col("anchor").alias(f"{name}_anchor"), F.col("ordinal").alias(f"{name}_ordinal"), F.col("label").alias(f"{name}_label"), F.col("text").alias(f"{name}_text"))
+        full = aligned.join(side("left"), ["left_id", "left_anchor"], "left").join(side("right"), ["right_id", "right_anchor"], "left")
+        told = describe(diff(full.na.fill("", ["left_text", "right_text"])), lifecycle=flag)
+        each.append(told.withColumn("lifecycle", F.lit(flag)).withColumn("change", F.when(F.col("kind") == "matched", F.col("change"))))
+    return each[0].unionByName(each[1])
+
+
+def focus(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """The row of each pair to show: that of the asked left anchor, else of the right one, else the first changed match, the first match, the first row.
+
+    ``rows`` as made by :func:`view`; ``asks``: left_id, right_id, left_ask, right_ask (either may be null).
+    """
+    shown = rows.where("kind != 'right-only'").join(asks, ["left_id", "right_id"])
+    matched = F.col("kind") == "matched"
+    tier = F.when(F.col("left_anchor") == F.col("left_ask"), 1).when(F.col("right_anchor") == F.col("right_ask"), 2).when(matched & (F.col("change") != "unchanged"), 3).when(matched, 4).otherwise(5)
+    keep = ["kind", "reason", "left_anchor", "right_anchor", "left_label", "right_label", "score", "change"]
+    best = F.min_by(F.struct(tier.alias("tier"), *keep), F.struct(tier, "left_ordinal")).alias("b")
+    return shown.groupBy("left_id", "right_id").agg(best).select("left_id", "right_id", "b.*")
+
+
+def preview(rows: DataFrame, asks: DataFrame, docs: DataFrame) -> DataFrame:
+    """:func:`focus` with the path of the comparison and the right document's title and number."""
+    named = docs.select(F.col("id").alias("right_id"), F.col("title").alias("right_title"), F.col("document_number").alias("right_number"))
+    path = F.concat(F.lit("/compare/"), F.col("left_id").cast("string"), F.lit("/"), F.col("right_id").cast("string"))
+    return focus(rows, asks).join(named, "right_id").withColumn("compare_path", path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -38,7 +40,7 @@ def resolve(asks: DataFrame, docs: DataFrame) -> DataFrame:
     hint, s_issuer, c_issuer = type_hint(F.col("hint")), ascii_fold(F.col("s_issuer")), ascii_fold(F.col("issuing_authority"))
     s_places = localities(F.concat_ws(" ", "s_title", "s_issuer"))
     c_places = localities(F.concat_ws(" ", "title", "issuing_authority"))
-    valid = F.when(~requires_local_context(F.col("number")), True).when((s_issuer != "") & (c_issuer != ""), s_issuer == c_issuer).when(F.size(s_places) > 0, F.arrays_overlap(s_places, c_places)).otherwise(True)
+    valid = F.when(~requires_local_context(normalize_number(F.col("number"))), True).when((s_issuer != "") & (c_issuer != ""), s_issuer == c_issuer).when(F.size(s_places) > 0, F.arrays_overlap(s_places, c_places)).otherwise(True)
     parts = number_parts(normalize_number(F.col("document_number")))
     suffix = (F.get(parts, F.lit(0)) == F.get(number_parts(normalize_number(F.col("number"))), F.lit(0))) & (F.size(parts) > 1) & F.element_at(parts, -1).rlike("[a-z]")
     c = full.select("ask", "id", "hint", hint.alias("h"), type_hint(F.col("legal_type")).alias("ct"), "year", "c_year", valid.alias("valid"), F.coalesce(suffix, F.lit(False)).alias("suffix"), s_issuer.alias("si"), c_issuer.alias("ci"), "number", "document_number", "title", "issuing_authority", "s_title", "context")
@@ -99,12 +101,24 @@ def target_sections(links: DataFrame, parts: DataFrame) -> DataFrame:
     return links.join(best.select(*key, F.col("b.target_section_ordinal").alias("target_section_ordinal")), key, "left")
 
 
-def citation_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sections, mentions, links). A title section's text is the document's title; links are distinct."""
+def stored_or_found(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """``links`` (with stored, a section's ordinal or null, and target_section_ordinal as found by label) with the stored section where the document has it."""
+    have = parts.select(F.col("document_id").alias("target_document_id"), F.col("ordinal").alias("stored"), F.lit(True).alias("there"))
+    told = links.join(have, ["target_document_id", "stored"], "left")
+    return told.withColumn("target_section_ordinal", F.when(F.col("there"), F.col("stored")).otherwise(F.col("target_section_ordinal"))).drop("there")
+
+
+def citation_graph(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sections, mentions, links). A title section's text is the document's title; links are distinct.
+
+    ``keep`` may store each table under a name, so that what is read more than
+    once is made once.
+    """
     parts = sections(docs).join(docs.select(F.col("id").alias("document_id"), "title"), "document_id").withColumn("text", F.when(F.col("ordinal") == 0, text_or_empty(F.col("title"))).otherwise(F.col("text"))).drop("title")
-    found = mentions(parts, docs)
+    parts = keep(parts, "sections")
+    found = keep(mentions(parts, docs), "mentions")
     asks = found.select(F.struct("source_document_id", "section_ordinal", "mention_order").alias("ask"), F.col("source_document_id").alias("source_id"), F.col("referenced_number").alias("number"), F.col("legal_type_hint").alias("hint"), F.col("reference_year").alias("year"), F.col("reference_context").alias("context"))
-    hits = resolve(asks, docs).select("ask.*", F.col("target_id").alias("target_document_id"))
+    hits = keep(resolve(asks, docs), "resolved").select("ask.*", F.col("target_id").alias("target_document_id"))
     linked = hits.join(found.select("source_document_id", "section_ordinal", "mention_order", "link_type", "referenced_label"), ["source_document_id", "section_ordinal", "mention_order"])
     links = target_sections(linked, parts).select("source_document_id", "section_ordinal", "mention_order", "target_document_id", "target_section_ordinal", "link_type", F.lit(1.0).alias("score"), F.lit("document_number").alias("match_method"))
-    return parts, found, links
+    return parts, found, keep(links, "links")

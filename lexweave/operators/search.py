@@ -111,6 +111,16 @@ def looks_like_identifier(query: str) -> bool:
     return bool(re.search(r"\d", query)) and len(query.strip()) <= 64
 
 
+def identifier_form(c: Column) -> Column:
+    """A number as identifiers are compared: upper case, no white space, slashes for hyphens."""
+    return F.replace(F.upper(F.regexp_replace(text_or_empty(c), r"\s+", "")), F.lit("-"), F.lit("/"))
+
+
+def is_identifier(c: Column) -> Column:
+    """Whether a query may be an identifier: it has a digit and at most 64 characters."""
+    return c.rlike("[0-9]") & (F.length(F.trim(c)) <= 64)
+
+
 def normalize_identifier(query: str) -> str:
     return re.sub(r"\s+", "", query).upper().replace("-", "/")
 

@@ -1,13 +1,23 @@
-"""Queries over small legal texts with expected rows derived by hand from the rules."""
+"""Rules on a few literal rows, with expected rows derived by hand; the registered queries work on whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import legal, text
-from ..operators import compare, resolve, segment, selection, views
-from . import bridge as b
-from .catalog_queries import query
+from lexweave.functions import legal, text
+from lexweave.operators import compare, resolve, segment, selection, views
+
+CASES: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    """Keep a function under its name, with the SQL that returns the rows it must give."""
+
+    def add(f):
+        CASES[f.__name__] = f, sql
+        return f
+
+    return add
 
 
 def values(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
@@ -252,13 +262,6 @@ def cmp_align(spark, d):
     return compare.align(values(spark, "left_id long, right_id long", (1, 2)), segment.sections(docs)).drop("score")
 
 
-@query("SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(strip_accents(substr(text, 1, 500))), '[0-9a-z]+')) AS w FROM documents) a JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(strip_accents(substr(text, 1, 500))), '[0-9a-z]+')) AS w FROM documents) b ON b.doc_id = a.doc_id + 1")
-def cmp_similarity(spark, d):
-    docs = b.table(spark, d, "documents")
-    left, right = docs.select(F.col("doc_id").alias("left_id"), F.col("text").alias("l")), docs.select(F.col("doc_id").alias("right_id"), F.col("text").alias("r"))
-    pairs = left.join(right, F.col("right_id") == F.col("left_id") + 1)
-    return pairs.select("left_id", "right_id", F.round(compare.jaccard(F.lit(""), F.col("l"), F.lit(""), F.col("r")), 6).alias("jaccard"))
-
 
 @query(expected("k INTEGER, name VARCHAR, qs VARCHAR", (1, "Research: thuế đất", "q=thu%E1%BA%BF+%C4%91%E1%BA%A5t&year=2014"), (2, "Topic watch: Thuế", "topic=Thu%E1%BA%BF"), (3, "Luật watch", "legal_type=Lu%E1%BA%ADt"), (4, "Saved legal view", "")))
 def fn_view_name(spark, d):
@@ -268,8 +271,8 @@ def fn_view_name(spark, d):
 
 @query(expected("id BIGINT, document_number VARCHAR, title VARCHAR, legal_sectors VARCHAR, issuance_date VARCHAR, year INTEGER, content VARCHAR", (1, "1/2014/X", "Tên", "A | B", "05/06/2014", 2014, "dài hơn\n& hết"), (2, "", "Document 2", "", "", None, "b")))
 def prj_record_parquet(spark, d):
-    from ..schemas import METADATA
-    from ..sources.corpus import records
+    from lexweave.schemas import METADATA
+    from lexweave.sources.corpus import records
 
     meta = values(spark, METADATA, (1, " Tên ", "05/06/3014", "1/2014/X", "Luật", "Bộ", "A", "B", "s", None, "ký"), (2, None, None, None, None, None, None, " ", None, None, None), (3, "không nội dung", None, None, None, None, None, None, None, None, None))
     content = values(spark, "id long, content_html string", (1, "<p>x</p>"), (1, "<p>dài hơn</p>&amp; <b>hết</b>"), (2, "b"), (3, ""))
@@ -278,47 +281,22 @@ def prj_record_parquet(spark, d):
 
 @query(expected("id BIGINT, state VARCHAR", (1, "same"), (2, "changed"), (3, "new")))
 def flt_unchanged(spark, d):
-    from ..sources.corpus import HASHED, changed
+    from lexweave.sources.corpus import HASHED, changed
 
-    base = values(spark, "id long, " + ", ".join(f"{c} string" for c in HASHED), *[(i, *[f"{c}{i}" for c in HASHED]) for i in (1, 2, 3)])
+    fields = [c for c in HASHED if c != "id"]
+    base = values(spark, "id long, " + ", ".join(f"{c} string" for c in fields), *[(i, *[f"{c}{i}" for c in fields]) for i in (1, 2, 3)])
     old = base.where("id < 3").withColumn("source_hash", segment.source_hash(*HASHED)).select("id", "source_hash")
     new = base.withColumn("title", F.when(F.col("id") == 2, F.lit("other")).otherwise(F.col("title")))
     fresh = changed(new, old).select("id").withColumn("f", F.lit(1))
     return new.select("id").join(fresh, "id", "left").select("id", F.when(F.col("f").isNull(), "same").when(F.col("id") == 3, "new").otherwise("changed").alias("state"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS value FROM documents WHERE doc_id < 300 AND doc_id % 5 <> 0")
-def sink_import_documents(spark, d):
-    """Insert, upsert a third (twice), then delete a fifth, in a versioned table."""
-    return imported(spark, b.table(spark, d, "documents").where("doc_id < 300"))
-
-
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS value FROM documents WHERE doc_id % 5 <> 0")
-def sink_import_documents_all(spark, d):
-    """The same over all documents."""
-    return imported(spark, b.table(spark, d, "documents"))
-
-
-def imported(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
-
-    from ..sources.corpus import VersionedTable
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    t = VersionedTable(spark, f"{base}/versioned-{uuid.uuid4().hex}", "id long, value string", ["id"])
-    docs = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("value"))
-    t.upsert(docs)
-    new = docs.where("id % 3 = 0").withColumn("value", F.upper("value"))
-    t.upsert(new)
-    t.upsert(new)
-    t.delete(docs.where("id % 5 = 0"))
-    return t.read()
 
 
 @query(expected("id BIGINT, issuance_date VARCHAR, year INTEGER", (2, "05/06/2014", 2014), (3, "abc", None)))
 def ing_repair_dates(spark, d):
-    from ..sources.corpus import repaired_dates
+    from lexweave.sources.corpus import repaired_dates
 
     rows = values(spark, "id long, document_number string, title string, issuance_date string, year int", (1, "", "", "05/06/2014", 2014), (2, "", "", "05/06/3014", None), (3, "", "", "abc", 7))
     return repaired_dates(rows, 2025).select("id", "issuance_date", "year")
@@ -360,14 +338,14 @@ def seg_profile(spark, d):
 
 @query(expected("id BIGINT, content_html VARCHAR", (1, "abc"), (4, "x")))
 def src_content_cache(spark, d):
-    from ..sources.corpus import longest_content
+    from lexweave.sources.corpus import longest_content
 
     return longest_content(values(spark, "id long, content_html string", (1, "a"), (1, "abc"), (2, ""), (3, None), (4, "x")))
 
 
 @query(expected("document_id BIGINT, heading VARCHAR, text VARCHAR, bm25 DOUBLE", (7, "Overview", "Tên. phần mở", -8.0), (8, "Overview", "Hai. x", -7.0)))
 def passage_overview(spark, d):
-    from ..operators.search import overview_passages
+    from lexweave.operators.search import overview_passages
 
     hits = values(spark, "position int, id long, title string, snippet string", (1, 7, "Tên", "<mark>phần</mark> mở"), (2, 8, "Hai", "x"), (9, 9, "Xa", "y"))
     return overview_passages(hits).select("document_id", "heading", "text", "bm25")

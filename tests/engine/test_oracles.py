@@ -1,14 +1,25 @@
-"""Every query of the engine against its SQL, on the smallest tables."""
+"""The engine's queries against their SQL, on the smallest tables.
 
-import math
+Those that build the citation graph or compare documents take long on one
+machine: LEXWEAVE_ALL=1 runs them too.
+"""
+
+import os
 
 import duckdb
 import pytest
 
-from lexweave.plans import catalog_queries, legal_queries  # noqa: F401
+from lexweave.plans import catalog_queries, corpus_queries, pipeline_queries  # noqa: F401
+from tests.engine.duck import same
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations".split()
+LONG = {
+    "agg_compare_counts", "api_citations", "api_document", "api_relations", "best_mention_row", "cmp_align", "cmp_focus", "cmp_pair_links", "cmp_preview", "cmp_view", "er_choose", "er_resolve_sql", "flt_valid_context", "fn_needs_runtime", "graph_cit_view",
+    "graph_citation_map", "graph_preview", "graph_rel_view", "graph_runtime", "graph_runtime_counts", "graph_target_section2", "ing_demo", "ing_focused_update", "ing_monthly", "ing_rebuild_cit", "ing_rebuild_rel", "ing_recent_main", "ing_selected", "ing_startup",
+    "preview_incoming", "preview_signals", "seg_section_mentions",
+}
+ALL = bool(os.environ.get("LEXWEAVE_ALL"))
 
 
 @pytest.fixture(scope="module")
@@ -19,22 +30,10 @@ def duck():
     return con
 
 
-def tidy(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
-        return None
-    return round(v, 6) if isinstance(v, float) else str(v)
-
-
-@pytest.mark.parametrize("name", sorted(catalog_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in catalog_queries.QUERIES if ALL or n not in LONG))
 def test_query(spark, duck, name):
     df = catalog_queries.QUERIES[name](spark, DATA)
-    columns = sorted(df.columns)
-    got = sorted((tuple(tidy(r[c]) for c in columns) for r in df.collect()), key=str)
     if name not in catalog_queries.ORACLES:
-        assert len(got) > 0
+        assert not df.isEmpty()
         return
-    rel = duck.sql(catalog_queries.ORACLES[name])
-    assert sorted(rel.columns) == columns
-    place = [rel.columns.index(c) for c in columns]
-    want = sorted((tuple(tidy(r[i]) for i in place) for r in rel.fetchall()), key=str)
-    assert got == want
+    same(df, duck.sql(catalog_queries.ORACLES[name]))

@@ -1,14 +1,14 @@
-"""The queries named ..._all work on every row of their tables, not on a range of ids."""
+"""These queries work on every row of their tables, not on a range of ids."""
 
 import pytest
 
-from lexweave.plans import catalog_queries, legal_queries  # noqa: F401
+from lexweave.plans import catalog_queries, corpus_queries, pipeline_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.01"
 ROWS = {
-    "sink_import_documents_all": ("documents", "doc_id % 5 <> 0", 1),
-    "agg_section_citations_all": ("orders", "true", 4),
-    "tracked_ids_all": ("labels", "quality = 1", 1),
+    "sink_import_documents": ("documents", "doc_id % 5 <> 0", 1),
+    "agg_section_citations": ("orders", "true", 4),
+    "tracked_ids": ("labels", "quality = 1", 1),
 }
 
 
@@ -21,5 +21,5 @@ def test_rows(spark, name):
 
 def test_subjects_of_every_document(spark):
     n = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").distinct().count()
-    got = catalog_queries.QUERIES["document_subjects_all"](spark, DATA)
+    got = catalog_queries.QUERIES["document_subjects"](spark, DATA)
     assert got.select("document_id").distinct().count() == n
