@@ -23,3 +23,10 @@ def test_subjects_of_every_document(spark):
     n = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").distinct().count()
     got = catalog_queries.QUERIES["document_subjects"](spark, DATA)
     assert got.select("document_id").distinct().count() == n
+
+
+def test_numbers_without_type(spark):
+    """A number that a typed reference holds to its end is that reference's, not one by number alone."""
+    got = catalog_queries.QUERIES["seg_numbers"](spark, DATA)
+    ids = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert sorted(r.id for r in got.collect()) == sorted(i for i in ids if i >= 7 and (i - 7) % 4 != 3)
