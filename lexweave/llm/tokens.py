@@ -14,8 +14,17 @@ REMEMBERED = 400_000
 LONG = 64
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Latin letters only: one token of the pre-tokenizer, with or without a space before them.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_LATIN = re.compile(f"[{_LETTERS}]+").fullmatch
+#: Latin letters and ASCII marks without the apostrophe: two tokens.
+_MARKED = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)").fullmatch
+#: What an added token that lies across such a border looks like.
+_ACROSS = re.compile(rf"[0-9{_LETTERS}]+[!-/:-@\[-`{{-~]+|.*\n.*", re.S).fullmatch
+#: A comma or full stop before a space, behind anything but a Latin letter or a digit.
+_ODD = re.compile(rf"[,.] (?<![0-9{_LETTERS}][,.] )").search
+#: What stands for a comma or full stop that is a token apart: printable texts do not hold it, and no chunk begins with white space.
+_APART = {",": "\x1c", ".": "\x1d"}
 #: The characters that stand for bytes in a byte-level vocabulary: printable ones of Latin-1 for themselves, the others from 256 on.
 _SELF = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _CHARS = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SELF))}
@@ -27,15 +36,9 @@ class _Memo(dict):
 
     def __init__(self, tokenizer, prefix: str, limit: int):
         self.encode, self.merge, self.prefix, self.limit, self.old = tokenizer.encode, tokenizer.model.tokenize, prefix, limit // 2, {}
-        self.bare, self.mark = self, prefix.translate(_BYTES)
+        self.bare, self.mark, self.fixed = self, prefix.translate(_BYTES), {}
 
     def __missing__(self, chunk: str) -> bytes:
-        # letters, a mark and a line feed are tokens apart, so only the letters need the library
-        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-            return self[chunk[:-1]] + self.bare[chunk[-1]]
-        head, feed, tail = chunk.partition("\n")
-        if feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return self[head] + self.bare[feed] + self.bare[tail]
         ids = self.old.get(chunk)
         if ids is None:
             # letters only leave nothing to cut, so straight to the merges
@@ -44,12 +47,21 @@ class _Memo(dict):
             elif _LATIN(chunk):
                 found = self.merge(self.mark + chunk.encode().decode("latin-1").translate(_BYTES))
                 ids = array("I", [t.id for t in found]).tobytes()
+            # letters, marks and a line feed are tokens apart, so only the letters need the library
+            elif chunk[-1] in ",." and chunk[:-1].isalpha():
+                return self[chunk[:-1]] + self.bare[chunk[-1]]
+            elif marked := _MARKED(chunk):
+                ids = self[marked[1]] + self.bare[marked[2]]
             else:
+                head, feed, tail = chunk.partition("\n")
+                if feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
+                    return self[head] + self.bare[feed] + self.bare[tail]
                 ids = np.array(self.encode(self.prefix + chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= LONG:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
+                self.update(self.fixed)
             self[chunk] = ids
         return ids
 
@@ -59,7 +71,7 @@ def _cuts_at_spaces(tokenizer) -> bool:
     kind = json.loads(tokenizer.to_str())
     pre = kind.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    added = any(" " in t["content"] or t["content"].isalpha() for t in kind.get("added_tokens") or [])
+    added = any(" " in t["content"] or t["content"].isalpha() or _ACROSS(t["content"]) for t in kind.get("added_tokens") or [])
     return plain and kind.get("normalizer") is None and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and not added
 
 
@@ -81,6 +93,9 @@ class ChunkEncoder:
         self._whole = None if _cuts_at_spaces(tokenizer) else tokenizer
         self._first, self._spaced = (_Memo(tokenizer, prefix, remembered * share // 4) for prefix, share in (("", 1), (" ", 3)))
         self._spaced.bare = self._first
+        if not self._whole:
+            self._spaced.fixed = {stand: self._first[mark] for mark, stand in _APART.items()}
+            self._spaced.update(self._spaced.fixed)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
@@ -88,9 +103,13 @@ class ChunkEncoder:
             return b""
         if self._whole:
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if "  " not in text and text[0] != " " != text[-1] and "\n " not in text and " \n" not in text and text.replace("\n", "").isprintable():
+            if not _ODD(text):
+                for mark, stand in _APART.items():
+                    text = text.replace(f"{mark} ", f" {stand} ")
+            first, *pieces = text.split(" ")
+            return self._first[first] + b"".join(map(self._spaced.__getitem__, pieces))
         pieces = text.split(" ")
-        if all(pieces) and "\n " not in text and " \n" not in text and text.replace("\n", "").isprintable():
-            return self._first[pieces[0]] + b"".join(map(self._spaced.__getitem__, pieces[1:]))
         out, held, memo = [], pieces[0], self._first
         for piece in pieces[1:]:
             if piece and held and not piece[0].isspace() and not held[-1].isspace():

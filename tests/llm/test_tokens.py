@@ -24,3 +24,39 @@ def test_equals_the_library(remembered):
         texts.append("".join(rng.choice(BITS) + rng.choice(GAPS) for _ in range(rng.randrange(12))))
     for t in texts:
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+MARKED = ["word,", "word.", "w1,", "1.", "word!!", "été...", "a'", "a',", "日本,", ",", ".", ".,", "a.,", "###,", "\x1c", "\x1d", "a\x1c", "_,", "ß.", "ª,", "x-y.", "a.b,", "a,b.", "é,", "it's.", "a.\nB,", "a!!\nB.", "<|endoftext|>,"]
+
+
+@pytest.mark.parametrize("remembered", [8, 1000])
+def test_marks_equal_the_library(remembered):
+    whole = Tokenizer.from_file(PATH)
+    mine = ChunkEncoder(PATH, remembered)
+    rng = random.Random(2)
+    texts = [", a", ". a", "a, ", "a. ", "a, , b", "a. . b", " \x1c a", "a \x1c b", "a \x1d b, c", "a,  b"]
+    for odd in (0, 3):  # few odd bits leave most texts printable
+        some = MARKED if odd else [m for m in MARKED if m.isprintable()][:6] + ["it's.", "x-y."]
+        texts += [" ".join(rng.choice(some) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    for t in texts:
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_only_letters_and_marks_reach_the_library():
+    """Words with marks behind them are made of parts that are known, so each part is asked for once."""
+    mine = ChunkEncoder(PATH)
+    asked = []
+    for memo in (mine._first, mine._spaced):
+        memo.encode = lambda t, f=memo.encode, **more: asked.append(t) or f(t, **more)
+    for t in ("word, other. word!! other!! été!! word,", "word!!, b", "été### other###"):
+        assert mine.encode(t)
+    assert sorted(asked) == ["!!", "!!,", "###"]
+
+
+def test_added_tokens_across_a_border(tmp_path):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.add_tokens(["ab!"])
+    tokenizer.save(f"{tmp_path}/t.json")
+    mine = ChunkEncoder(f"{tmp_path}/t.json")
+    for t in ("ab!! c", "x ab! c, d"):
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
