@@ -39,8 +39,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles at a similarity of 0.8 or more) the document with the least id stays.
+    """Operator 7 on five-word shingles: of each group of near duplicates the document with the least id stays.
 
+    SimHash fingerprints find candidates, and Jaccard similarity of 0.8 or more
+    on the whole sets confirms them; similar pairs whose fingerprints lie
+    beyond the radius are found by shared shingles, so that none is missed.
     Documents without an id stay; rows that share an id stay or go together.
     Texts without words are one group, empty and null alike. Extra columns stay
     whatever their names, and an empty table gives an empty result.

@@ -1,4 +1,4 @@
-"""Near duplicates by the exact Jaccard similarity of their sets of word shingles."""
+"""Near duplicates by SimHash of their sets of word shingles, confirmed by exact Jaccard similarity; an exact way for pairs whose fingerprints lie further apart."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import simhash
 from .bytesets import LOWER, RangeHash, U, blocks, frugal, mix, words
 from .components import connected_components
 from .durable import durable
@@ -74,7 +75,7 @@ def parity_maps(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
 
 
 def _scan(n: int, least: tuple[int, int]):
-    """Each row's set: its hash, size, parity map and prefix.
+    """Each row's set: its hash, fingerprint, size, parity map and prefix.
 
     Two sets that are similar enough share one of the least
     ``size - ceil(least * size) + 1`` hashes of each: that is the prefix.
@@ -91,7 +92,8 @@ def _scan(n: int, least: tuple[int, int]):
                 kept = values[np.arange(len(values)) - cut[row] < head[row]]
                 at = pa.array(np.concatenate(([0], np.cumsum(head))), pa.int32())
                 maps = pa.array(parity_maps(values, cut), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, rows), pa.array(set_hashes(values, cut)), pa.array(size, pa.int32()), maps, pa.ListArray.from_arrays(at, pa.array(kept))], names=["id", "sig", "n", "parity", "prefix"])
+                fp = pa.array(simhash.majority(values.view(U), size).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, rows), pa.array(set_hashes(values, cut)), fp, pa.array(size, pa.int32()), maps, pa.ListArray.from_arrays(at, pa.array(kept))], names=["id", "sig", "fp", "n", "parity", "prefix"])
 
     return run
 
@@ -180,21 +182,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Documents whose sets of ``n``-word shingles have a Jaccard similarity of
     ``least`` or more are linked; component_id is the least id that can be
-    reached. Ids must not be null. No similar pair is missed: each shares a
-    shingle of both prefixes. Holders of a shared shingle are first paired with
-    the least and the greatest of them; then all that these links have not
-    joined, where size and parity map allow similarity, in pairs of tiles. Every link is confirmed on the whole sets. Documents with equal sets
-    are compared once, whatever their number; texts without words are equal.
+    reached. Ids must not be null. Candidates are sets whose SimHash
+    fingerprints differ in at most ``simhash.RADIUS`` bits, by the tiled
+    comparison of :mod:`simhash`. Similar sets may differ in more bits, so that
+    there is an exact way for the rest, which misses no similar pair: each
+    shares a shingle of both prefixes. Holders of a shared shingle are first
+    paired with the least and the greatest of them; then all that these links
+    and those by fingerprint have not joined, where size and parity map allow
+    similarity, in pairs of tiles. Every link is confirmed on the whole sets.
+    Documents with equal sets are compared once, whatever their number; texts
+    without words are equal.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    own = durable(source.mapInArrow(frugal(_scan(n, least)), f"id {kind}, sig long, n int, parity binary, prefix array<long>"), "shingle-prefixes")
+    own = durable(source.mapInArrow(frugal(_scan(n, least)), f"id {kind}, sig long, fp long, n int, parity binary, prefix array<long>"), "shingle-prefixes")
+    close = fingerprint_pairs(own.select("fp", "sig"))
     marks = own.select("sig", F.explode("prefix").alias("token"))
     # tables are stored before a join, so that adaptive execution can split a frequent shingle
     ends = durable(marks.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high"), "shared-shingles")
     holders = durable(marks.join(ends, "token").select("token", "low", "high", "sig").distinct(), "shingle-holders")
     pivots = holders.select("token", "sig", F.explode(F.array("low", "high")).alias("other")).where("sig != other")
-    first = _confirmed(own, source, pivots.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b"), "token"), n, least)
+    pivots = pivots.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b"), "token")
+    first = _confirmed(own, source, close.select("a", "b", F.lit(None).cast("long").alias("token")).unionByName(pivots), n, least)
     joined = durable(connected_components(first, "a", "b"), "first-roots")
 
     rooted = durable(holders.join(joined, F.col("sig") == F.col("node"), "left").select("token", "sig", F.coalesce("root", "sig").alias("root")), "rooted-holders")
@@ -222,18 +231,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return own.select("id", "sig").join(labels, "sig").select(F.col("id").alias(id_col), "component_id")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of set hashes ``sig`` that join all whose fingerprints ``fp`` lie within ``simhash.RADIUS`` bits.
+
+    Sets of one fingerprint are paired with the least of them, which also
+    stands for it where two fingerprints are linked.
+    """
+    sets = durable(sets.distinct(), "set-fingerprints")
+    prints = durable(sets.groupBy("fp").agg(F.min("sig").alias("rep")), "distinct-fingerprints")
+    same = sets.join(prints, "fp").where("sig != rep").select("rep", "sig")
+    links = durable(simhash.links(prints.select("fp")).distinct(), "near-fingerprints")
+    a, b = (prints.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+    pairs = same.toDF("x", "y").unionByName(links.join(a, "a").join(b, "b").select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")))
+    return durable(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "fingerprint-pairs")
+
+
 def _confirmed(own: DataFrame, source: DataFrame, pairs: DataFrame, n: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of set hashes whose sets are similar enough; each set is made anew from one of its texts.
 
     ``pairs`` has a row for each shared shingle of the prefixes. The sets have
     no more in common than those and what lies behind one of the prefixes, so
-    pairs that this keeps from being similar enough are not compared.
+    pairs that this keeps from being similar enough are not compared. A row
+    without a shingle is a pair that fingerprints have found, which is compared
+    whatever it shares.
     """
     num, den = least
     size = own.groupBy("sig").agg(F.min("n").alias("n"))
-    sized = pairs.distinct().groupBy("a", "b").agg(F.count("*").alias("shared")).join(size.select(F.col("sig").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("sig").alias("b"), F.col("n").alias("n_b")), "b")
+    sized = pairs.distinct().groupBy("a", "b").agg(F.count("token").alias("shared"), F.max(F.col("token").isNull()).alias("close")).join(size.select(F.col("sig").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("sig").alias("b"), F.col("n").alias("n_b")), "b")
     behind = F.ceil(F.greatest("n_a", "n_b") * num / den) - 1
-    enough = (F.col("shared") + behind) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    enough = F.col("close") | ((F.col("shared") + behind) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
     asked = durable(sized.where(enough & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)).select("a", "b", "n_a", "n_b"), "asked-pairs")
     wanted = durable(asked.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "asked-sets")
     one = own.select("id", "sig").join(wanted, "sig").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct()

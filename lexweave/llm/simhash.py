@@ -21,9 +21,27 @@ BANDS = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
 _LANES = U(0x0001000100010001)
 
 
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row of ``count`` hashes, which lie one behind the other in ``h``: bit set if it is set in over half of them."""
+    begin = np.concatenate(([0], np.cumsum(count)))
+    counts = np.zeros((len(count), 64), np.int64)
+    some = np.flatnonzero(count)
+    if some.size:
+        # 16-bit counters side by side in one word: at most 65,535 hashes to a sum
+        parts = np.concatenate([np.arange(begin[i], begin[i + 1], 65_535) for i in some]) if count.max() > 65_535 else begin[some]
+        owner = np.searchsorted(begin, parts, "right") - 1
+        sums = np.zeros((len(parts), 64), np.int64)
+        for k in range(16):
+            packed = np.add.reduceat((h >> U(k)) & _LANES, parts)
+            for j in range(4):
+                sums[:, k + 16 * j] = (packed >> U(16 * j)) & U(0xFFFF)
+        np.add.at(counts, owner, sums) if len(parts) > len(some) else counts.__setitem__(owner, sums)
+    bits = (2 * counts > count[:, None]).astype(U)
+    return (bits << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
+
+
 def fingerprint_block(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
     """The fingerprint of each row: bit set if it is set in over half of the row's shingle hashes."""
-    rows = len(offsets) - 1
     starts, ends, first = words(data, offsets)
     solid = ~IS_SPACE[data]
     keep = solid.copy()
@@ -34,25 +52,12 @@ def fingerprint_block(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE_WO
     starts, ends = place[starts], place[ends - 1] + 1 if len(ends) else ends
     count = np.diff(first)
     shingles = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
-    row = np.repeat(np.arange(rows), shingles)
+    row = np.repeat(np.arange(len(count)), shingles)
     begin = np.concatenate(([0], np.cumsum(shingles)))
     head = first[row] + (np.arange(begin[-1]) - begin[row])
     tail = np.minimum(head + n - 1, first[row + 1] - 1)
     h = xxh64(text, starts[head], ends[tail]) if len(head) else np.zeros(0, U)
-    counts = np.zeros((rows, 64), np.int64)
-    some = np.flatnonzero(shingles)
-    if some.size:
-        # 16-bit counters side by side in one word: at most 65,535 shingles to a sum
-        parts = np.concatenate([np.arange(begin[i], begin[i + 1], 65_535) for i in some]) if shingles.max() > 65_535 else begin[some]
-        owner = row[parts]
-        sums = np.zeros((len(parts), 64), np.int64)
-        for k in range(16):
-            packed = np.add.reduceat((h >> U(k)) & _LANES, parts)
-            for j in range(4):
-                sums[:, k + 16 * j] = (packed >> U(16 * j)) & U(0xFFFF)
-        np.add.at(counts, owner, sums) if len(parts) > len(some) else counts.__setitem__(owner, sums)
-    bits = (2 * counts > shingles[:, None]).astype(U)
-    return (bits << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
+    return majority(h, shingles)
 
 
 def with_fingerprint(docs: DataFrame, text: str, id_col: str) -> DataFrame:

@@ -86,3 +86,45 @@ def test_stage_drops_near_copies(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, df, "")
     assert left.columns == df.columns
     assert {r.doc_id for r in left.collect()} == set(range(30))
+
+
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """The stage of the pipeline compares SimHash fingerprints of five-word shingles; none within the radius is lost."""
+    rng = random.Random(5)
+    base = [rng.choice(VOCAB) for _ in range(1500)]
+    texts = ["", "one"]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(1500)] = "edited"
+        texts.append(" ".join(words))
+    (_, data, offsets), = blocks(pa.array(texts))
+    values, cut = jaccard.shingle_sets(data, offsets)
+    sig = jaccard.set_hashes(values, cut).tolist()
+    fp = jaccard.simhash.majority(values.view(np.uint64), np.diff(cut))
+    for k in range(len(texts)):
+        members = [int(v) & (1 << 64) - 1 for v in values[cut[k] : cut[k + 1]]]
+        assert int(fp[k]) == sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in members) > len(members))
+    asked = []
+    links = jaccard.simhash.links
+    monkeypatch.setattr(jaccard.simhash, "links", lambda prints, *more: asked.append(prints) or links(prints, *more))
+    sets = spark.createDataFrame([(int(f), s) for f, s in zip(fp.view(np.int64), sig)], "fp long, sig long")
+    got = [(r.a, r.b) for r in jaccard.fingerprint_pairs(sets).collect()]
+    root = {s: s for s in sig}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    print_of = dict(zip(sig, fp))
+    for a, b in got:
+        assert a < b
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    near = [(a, b) for a in print_of for b in print_of if a < b and int(print_of[a] ^ print_of[b]).bit_count() <= 2]
+    assert len(near) > 20 and all(find(a) == find(b) for a, b in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(asked) == 1
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert len(asked) == 2 and {r.fp for r in asked[1].collect()} == set(fp.view(np.int64).tolist())
+    assert kept == set(brute_components(list(enumerate(texts))).values())
