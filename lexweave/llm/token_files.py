@@ -29,6 +29,8 @@ BLOCK_IDS = 4096
 #: A file is closed when it holds so many ids.
 FILE_IDS = 1 << 21
 NULL_ID = np.iinfo(np.int64).min
+#: Widths of the integers that numpy has.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -40,6 +42,10 @@ def pack(ids: np.ndarray, bits: int) -> np.ndarray:
     """64-bit words with ``bits`` bits per id; the last group of 64 ids is filled up with zeros. Ids that do not fit are an error."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
+    if bits in WHOLE:  # each id is an integer of its own
+        out = np.zeros(-(-len(ids) // 64) * 64, WHOLE[bits])
+        out[: len(ids)] = ids
+        return out.view("<u8").astype(np.uint64, copy=False)
     groups = np.zeros((-(-len(ids) // 64), 64), np.uint64)
     groups.reshape(-1)[: len(ids)] = ids
     words = np.zeros((len(groups), bits), np.uint64)
@@ -53,6 +59,8 @@ def pack(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def unpack(words: np.ndarray, bits: int, n: int) -> np.ndarray:
     """The first ``n`` ids of packed ``words``."""
+    if bits in WHOLE:
+        return words.astype("<u8", copy=False).view(WHOLE[bits])[:n].astype(np.uint32)
     words = words.reshape(-1, bits)
     out = np.empty((len(words), 64), np.uint32)
     mask = np.uint64((1 << bits) - 1)

@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Distinct words that one worker remembers, about 200 bytes each, in two generations.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Longer chunks are encoded but not remembered.
 LONG = 64
 
@@ -21,8 +21,8 @@ _LATIN = re.compile(f"[{_LETTERS}]+").fullmatch
 _MARKED = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)").fullmatch
 #: What an added token that lies across such a border looks like.
 _ACROSS = re.compile(rf"[0-9{_LETTERS}]+[!-/:-@\[-`{{-~]+|.*\n.*", re.S).fullmatch
-#: A comma or full stop before a space, behind anything but a Latin letter or a digit.
-_ODD = re.compile(rf"[,.] (?<![0-9{_LETTERS}][,.] )").search
+#: A comma or full stop before a space or line feed, behind anything but a Latin letter or a digit.
+_ODD = re.compile(rf"[,.][ \n](?<![0-9{_LETTERS}][,.][ \n])").search
 #: What stands for a comma or full stop that is a token apart: printable texts do not hold it, and no chunk begins with white space.
 _APART = {",": "\x1c", ".": "\x1d"}
 #: The characters that stand for bytes in a byte-level vocabulary: printable ones of Latin-1 for themselves, the others from 256 on.
@@ -75,6 +75,16 @@ def _cuts_at_spaces(tokenizer) -> bool:
     return plain and kind.get("normalizer") is None and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and not added
 
 
+def _without_memory(tokenizer) -> None:
+    """Replace the model by its like without the library's own memory of words, which is asked for new words only and full early."""
+    from tokenizers.models import BPE
+
+    model = json.loads(tokenizer.to_str())["model"]
+    kept = {k: model[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k) is not None}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    tokenizer.model = BPE(model["vocab"], merges, cache_capacity=0, **kept)
+
+
 class ChunkEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
@@ -91,11 +101,19 @@ class ChunkEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self._whole = None if _cuts_at_spaces(tokenizer) else tokenizer
+        if not self._whole:
+            _without_memory(tokenizer)
         self._first, self._spaced = (_Memo(tokenizer, prefix, remembered * share // 4) for prefix, share in (("", 1), (" ", 3)))
         self._spaced.bare = self._first
         if not self._whole:
             self._spaced.fixed = {stand: self._first[mark] for mark, stand in _APART.items()}
             self._spaced.update(self._spaced.fixed)
+            self._feed = self._first["\n"]
+
+    def _line(self, text: str) -> bytes:
+        """The ids of a text whose spaces all stand alone between two solid characters."""
+        pieces = iter(text.split(" "))
+        return self._first[next(pieces)] + b"".join(map(self._spaced.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
@@ -104,11 +122,13 @@ class ChunkEncoder:
         if self._whole:
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " not in text and text[0] != " " != text[-1] and "\n " not in text and " \n" not in text and text.replace("\n", "").isprintable():
+            # a line feed between two solid characters is a token of its own
+            lines = "\n\n" not in text and text[0] != "\n" != text[-1]
             if not _ODD(text):
                 for mark, stand in _APART.items():
                     text = text.replace(f"{mark} ", f" {stand} ")
-            first, *pieces = text.split(" ")
-            return self._first[first] + b"".join(map(self._spaced.__getitem__, pieces))
+                    text = text.replace(f"{mark}\n", f" {stand}\n") if lines else text
+            return self._feed.join(map(self._line, text.split("\n"))) if lines else self._line(text)
         pieces = text.split(" ")
         out, held, memo = [], pieces[0], self._first
         for piece in pieces[1:]:

@@ -26,6 +26,14 @@ def test_ids_beyond_the_width():
         tf.pack(np.array([70_000], np.uint32), 16)
 
 
+def test_whole_integers():
+    """Ids of 16 bits are packed at once, to the same bytes as by shifts."""
+    ids = np.random.default_rng(1).integers(0, 1 << 16, 1000).astype(np.uint32)
+    shifted = sum(int(x) << 16 * k for k, x in enumerate(ids.tolist())).to_bytes(2 * 1024, "little")
+    assert tf.pack(ids, 16).astype("<u8").tobytes() == shifted
+    assert tf.WHOLE[16] == "<u2" and tf.unpack(tf.pack(ids, 16), 16, 1000).dtype == np.uint32
+
+
 def test_width():
     assert [tf.bits_for(n) for n in (1, 2, 3, 50_257, 65_536, 65_537)] == [1, 1, 2, 16, 16, 17]
 

@@ -35,9 +35,10 @@ def test_marks_equal_the_library(remembered):
     mine = ChunkEncoder(PATH, remembered)
     rng = random.Random(2)
     texts = [", a", ". a", "a, ", "a. ", "a, , b", "a. . b", " \x1c a", "a \x1c b", "a \x1d b, c", "a,  b"]
+    texts += ["a.\n\nb", "a.\nb,\nc. d", "\n", "\na. b", "a. b.\n", ".\na", ",\n. b", "a\n,\nb", "a\n, b", "a,\n\n. b", "a b.\nc.\n\nd"]
     for odd in (0, 3):  # few odd bits leave most texts printable
         some = MARKED if odd else [m for m in MARKED if m.isprintable()][:6] + ["it's.", "x-y."]
-        texts += [" ".join(rng.choice(some) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+        texts += ["".join(rng.choice(some) + rng.choice("    \n") for _ in range(rng.randrange(1, 12))).rstrip(" ") for _ in range(2000)]
     for t in texts:
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
