@@ -50,25 +50,44 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np
 
 #: Rows of an Arrow batch: texts are long, and a batch lies in memory several times over, on either side.
 ARROW_ROWS = 1000
+#: Memories that outlive a worker's tasks, as they are dear to fill: modules add theirs.
+KEPT: list[dict] = []
 
 
-def frugal(run):
+def _give_back() -> None:
+    """Return memory that is free to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the C library on Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _forget() -> None:
+    """Empty what earlier tasks of this worker have kept."""
+    if any(KEPT):
+        for memory in KEPT:
+            memory.clear()
+        _give_back()
+
+
+def frugal(run, keeps: bool = False):
     """``run``, a function for mapInArrow, with bounded memory.
 
     At the end of a task it gives back what it no longer needs, since workers
-    live on. The session's limit of rows of a batch is lowered to ARROW_ROWS if
-    it is higher, and stays so: Spark reads it when a plan runs.
+    live on. A task first empties the memories in KEPT, which else would stay
+    beside its own, unless ``keeps`` says that its operator fills them. The
+    session's limit of rows of a batch is lowered to ARROW_ROWS if it is
+    higher, and stays so: Spark reads it when a plan runs.
     """
     spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark and not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _forget()
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # of the C library on Linux
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
 
     return wrapped
 

@@ -84,7 +84,9 @@ class Model:
 
         A transition is four times the next state's place, plus the phrases that
         end: one where a phrase could not go on with this symbol, and one more
-        for a symbol that the language lacks, which is a phrase by itself.
+        for a symbol that the language lacks, which is a phrase by itself. They
+        have 32 bits where that is enough for all places, as every worker holds
+        the table.
         """
         if self._tables is None:
             names = sorted(self.texts)
@@ -96,13 +98,16 @@ class Model:
             wide = len(seen) + 1  # the last class: never seen
             squeeze = np.full(N_CLASSES, wide - 1, np.int32)
             squeeze[seen] = np.arange(len(seen))
+            # an automaton has fewer than two states a symbol, and the first
+            places = wide * sum(2 * len(text) + 1 for text in read)
+            kind = np.int32 if 4 * places + 2 <= np.iinfo(np.int32).max else np.int64
             parts, firsts, base = [], [], 0
             for text in read:
                 states = suffix_automaton(squeeze[text])
                 root = np.full(wide, 0, np.int64)
                 for c, i in states[0].items():
                     root[c] = i
-                anew = 4 * (base + root * wide) + (root == 0)
+                anew = (4 * (base + root * wide) + (root == 0)).astype(kind)
                 table = np.tile(anew + 1, (len(states), 1))
                 table[0] = anew
                 for k, moves in enumerate(states):
@@ -111,7 +116,12 @@ class Model:
                 parts.append(table.reshape(-1))
                 firsts.append(base)
                 base += len(states) * wide
-            self._tables = names, squeeze, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(firsts, np.int64), wide
+            whole, at = np.empty(base, kind), 0
+            while parts:  # one by one, so that the table never lies in memory twice
+                part = parts.pop(0)
+                whole[at : at + len(part)] = part
+                at += len(part)
+            self._tables = names, squeeze, whole, np.array(firsts, np.int64), wide
         return self._tables
 
     def entropy(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

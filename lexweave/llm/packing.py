@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
             at, piece, start, length, crc = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col), F.col(text).cast("string")).mapInArrow(frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col), F.col(text).cast("string")).mapInArrow(frugal(run, keeps=True), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def place(pieces: DataFrame, limits: Limits) -> DataFrame:
@@ -149,7 +149,7 @@ def place(pieces: DataFrame, limits: Limits) -> DataFrame:
             k = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 3] + k // row[:, 2]), pa.array(row[:, 4] + k % row[:, 2] * length)], names=[*names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(frugal(run), f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(run, keeps=True), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,6 +176,6 @@ def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int =
             yield pa.RecordBatch.from_arrays([batch["sequence_id"], batch["offset"], batch["length"], pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "offset", "length", "ids"])
 
     joined = placed.join(docs.select(id_col, F.col(text).alias("text")), id_col).select("text", "start", "length", "sequence_id", "offset")
-    parts = joined.mapInArrow(frugal(run), "sequence_id long, offset long, length long, ids array<int>")
+    parts = joined.mapInArrow(frugal(run, keeps=True), "sequence_id long, offset long, length long, ids array<int>")
     one = F.sort_array(F.collect_list(F.struct("offset", "length", "ids")))
     return parts.groupBy("sequence_id").agg(one.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.length").cast("array<int>").alias("lengths"))

@@ -165,7 +165,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
             yield close()
 
     rows = source.repartitionByRange(*order).sortWithinPartitions(*order).drop("at")
-    rows.mapInArrow(frugal(run), _SCHEMA).write.parquet(path)
+    rows.mapInArrow(frugal(run, keeps=True), _SCHEMA).write.parquet(path)
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int | None) -> DataFrame:
@@ -181,7 +181,7 @@ def lookup(spark: SparkSession, path: str, doc_id: int | None) -> DataFrame:
                 found = [file.document(int(k)).view(np.int32) for k in np.flatnonzero(file.doc_ids == wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["ids"])
 
-    return files.mapInArrow(frugal(run), "ids array<int>")
+    return files.mapInArrow(frugal(run, keeps=True), "ids array<int>")
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -208,4 +208,4 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                     names=[id_col, "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "first", "content").mapInArrow(frugal(run), f"{id_col} long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "first", "content").mapInArrow(frugal(run, keeps=True), f"{id_col} long, start long, n_tokens long, ids_crc32 long")

@@ -8,6 +8,8 @@ from array import array
 
 import numpy as np
 
+from .bytesets import KEPT
+
 #: Distinct words that one worker remembers, about 200 bytes each, in two generations.
 REMEMBERED = 800_000
 #: Longer chunks are encoded but not remembered.
@@ -142,10 +144,11 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for the vocabulary file at ``path``; kept from task to task."""
+    """This worker's encoder for the vocabulary file at ``path``; kept from task to task until another operator's."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -61,6 +62,17 @@ def test_phrase_counts_against_brute_force(monkeypatch, stretch):
                 assert round(got) == want
 
 
+def test_tables_lie_in_memory_once():
+    rng = random.Random(3)
+    model = L.Model({k: "".join(chr(rng.randrange(97, 123)) for _ in range(3000)) for k in "abcdefgh"})
+    tracemalloc.start()
+    table = model.tables()[2]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert table.dtype == np.int32
+    assert peak < 12 * table.size, peak  # with an automaton; two tables of 64 bits would take 16
+
+
 def test_documents(spark):
     rng = random.Random(3)
     rows = [(i, text(rng, lang := rng.choice(list(WORDS)), rng.randrange(5, 80)), lang, "x") for i in range(300)]

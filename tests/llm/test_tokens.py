@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lexweave.llm.tokens import ChunkEncoder
+from lexweave.llm.bytesets import frugal
+from lexweave.llm.tokens import ChunkEncoder, _encoders, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 BITS = ["word", "Word,", "end.", "it's", "été", "ÉTÉ", "naïve.", "日本語", "\U0001f600", "1234", "a-b", "...", "!?", "<|endoftext|>", "$5", "x" * 100, "İ", "ß", "don't.", "'s", "ǅ", "ĳ", "ª", "\x00", "﻿", "é"]
@@ -61,3 +62,11 @@ def test_added_tokens_across_a_border(tmp_path):
     mine = ChunkEncoder(f"{tmp_path}/t.json")
     for t in ("ab!! c", "x ab! c, d"):
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_encoders_go_when_another_operator_runs():
+    for keeps, left in ((True, [PATH]), (False, [])):
+        encoder(PATH).encode("some words")
+        seen = []
+        list(frugal(lambda batches: seen.extend(_encoders) or batches, keeps)(iter([])))
+        assert seen == left and list(_encoders) == left
