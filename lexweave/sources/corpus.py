@@ -184,10 +184,10 @@ class VersionedTable:
                 fs.delete(self._fs(name)[1], True)
 
     def _write(self, rows: DataFrame) -> dict[str, str]:
-        """The folder of each bucket that has rows."""
+        """The folder of each bucket that has rows. Adaptive execution deals a large bucket to several tasks, each of which writes a file."""
         version = f"v-{uuid.uuid4().hex}"
         names = self.spark.createDataFrame([], self.schema).columns
-        rows.select(names).withColumn("bucket_", self._bucket()).repartition(self.buckets, "bucket_").write.partitionBy("bucket_").parquet(f"{self.path}/{version}")
+        rows.select(names).withColumn("bucket_", self._bucket()).hint("rebalance", "bucket_").write.partitionBy("bucket_").parquet(f"{self.path}/{version}")
         return {n.split("=")[1]: version for n in self._names(version) if n.startswith("bucket_=")}
 
     def replace(self, rows: DataFrame) -> None:
